@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, mixing, preference, token_rollup, token_store
+from . import bwt_dedup, decontaminate, line_quality, mixing, ngram_join, preference, token_rollup, token_store
 from .common import new_path, read_table
 from .oracle import ORACLE
 
@@ -33,18 +33,30 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digest(spark, path)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference.format_preferences(*preference.adjacent_pairs(read_table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return pairs.select("pair_id", "n_shared_turns", "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))
 
 
+def op9_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.removal_digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_rollup, op2_line_quality, op3_token_store, op6_preference_pairs, op10_mix_sources)
+    f.__name__: f for f in (op1_token_rollup, op2_line_quality, op3_token_store, op4_ngram_join, op5_decontaminate, op6_preference_pairs, op9_bwt_dedup, op10_mix_sources)
 }
 
 
