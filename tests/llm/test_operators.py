@@ -1,0 +1,264 @@
+"""Small tables and odd cases for the other corpus operators, and the pipeline."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tideglass.llm import line_quality, mixing, preference, token_rollup, token_store, toxicity
+from tideglass.llm.common import new_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, source=lambda i: f"src{i % 3}"):
+    return spark.createDataFrame([(i, t, "en", source(i), len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+# --- token rollup
+
+
+def changes(spark, rows):
+    return spark.createDataFrame(rows, "op string, source string, lang string, tokenizer_version string, n_tokens long, old_source string, old_lang string, old_version string, old_tokens long")
+
+
+def as_dict(df):
+    return {(r.source, r.lang, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in df.collect()}
+
+
+def test_rollup_adds_signed_changes_and_commits_once(spark):
+    path = new_path(spark, "test-rollup")
+    assert as_dict(token_rollup.totals(spark, path)) == {}
+    first = changes(spark, [("insert", "a", "en", "v1", 10, None, None, None, None)] * 2 + [("insert", None, None, "v1", None, None, None, None, None), ("nonsense", "a", "en", "v1", 5, None, None, None, None)])
+    token_rollup.commit_batch(first, path, "1")
+    token_rollup.commit_batch(first, path, "1")
+    assert as_dict(token_rollup.totals(spark, path)) == {("a", "en", "v1"): (2, 20), (None, None, "v1"): (1, 0)}
+    token_rollup.commit_batch(changes(spark, [("revise", "a", "en", "v2", 13, "a", "en", "v1", 10), ("DELETE", "a", "en", "v1", 10, None, None, None, None)]), path, "2")
+    want = {("a", "en", "v2"): (1, 13), (None, None, "v1"): (1, 0)}
+    assert as_dict(token_rollup.totals(spark, path)) == want
+    token_rollup.commit_batch(first.limit(0), path, "3")
+    base = new_path(spark, "test-rollup")
+    token_rollup.compact(spark, path, base)
+    assert as_dict(token_rollup.totals(spark, base)) == want
+
+
+# --- line quality
+
+
+def brute_repeat(words):
+    seen = Counter(zip(words, words[1:], words[2:]))
+    hit = set()
+    for i in range(len(words) - 2):
+        if seen[tuple(words[i : i + 3])] > 1:
+            hit |= {i, i + 1, i + 2}
+    return len(hit)
+
+
+def test_repeat_words_equal_brute_force():
+    rng = random.Random(2)
+    for n in range(60):
+        words = [rng.choice("abc") for _ in range(n)]
+        assert line_quality.repeat_words(words) == brute_repeat(words)
+
+
+def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    footer = "Subscribe to our Letter \t and follow us"
+    texts = [prose(40) + "\n" + footer + "\n" + prose(40) + "\n" + prose(9) for _ in range(160)]
+    texts += ["\n".join([footer] * 3 + [footer.upper()] * 9) + "\n" + " ".join(word() for _ in range(8))]  # little else
+    clean = prose(100)
+    texts += [clean] * 80 + ["", None, " \n ", prose(10)]
+    docs = docs_of(spark, texts, lambda i: None if i % 2 else "h")
+    got = {r.doc_id: r for r in line_quality.score_lines(docs).collect()}
+    assert all(got[i].kept and got[i].n_frequent_line_words == 7 for i in range(160))
+    assert not got[160].kept and got[160].n_dup_lines == 10
+    assert all(got[i].kept and got[i].n_frequent_line_words == 0 for i in range(161, 241))  # copies are one document
+    assert not any(got[i].kept for i in range(241, 245)) and got[242].n_words == 0
+    kept = line_quality.clean_documents(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in range(245) if got[i].kept]
+    assert all("Subscribe" not in r.text and r.n_chars == len(r.text) for r in kept)
+    assert line_quality.score_lines(docs.limit(0)).count() == 0 and line_quality.clean_documents(docs.limit(0)).count() == 0
+
+
+# --- token store
+
+
+def test_elias_fano_round_trip():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 0), (1, 7), (64, 64), (65, 1), (300, 100_000), (129, 1 << 40)):
+        bounds = np.sort(rng.integers(0, top + 1, n))
+        code = token_store.ef_encode(bounds)
+        assert token_store.ef_decode(code).tolist() == bounds.tolist()
+        assert [token_store.ef_select(code, k) for k in range(n)] == bounds.tolist()
+    assert token_store.ef_decode(token_store.ef_encode(np.empty(0, np.int64))).tolist() == []
+    big = token_store.ef_encode(np.sort(rng.integers(0, 1 << 20, 10_000)))
+    assert (len(big["low"]) + len(big["high"])) * 8 / 10_000 < 2.1 + np.log2((1 << 20) / 10_000)
+
+
+ODD = ["a  b", " a b ", "a\n b", "a\n\nb", "\na", "a\n", "a \nb", "a\t\nb", "x' s 's", "it's 12 3", "<|endoftext|> x", "tab\t x", "a　 b", "naïve Übung, s'il?", "a b   c", "\x1c a", "😀 😀\n😀"]
+
+
+def test_token_store_round_trip(spark):
+    texts = [*ODD, "", None, "word " * 20_000, "same", "same"]
+    docs = spark.createDataFrame([(len(texts) - i if i % 7 else None, t, "extra") for i, t in enumerate(texts)] + [(5, "again", "extra")], "doc_id long, text string, ids string")
+    path, file = new_path(spark, "test-tokens"), public_tokenizers.path("byte_bpe_50k.json")
+    token_store.write_store(docs, path, file)
+    rows = sorted(token_store.read_digest(spark, path).collect(), key=lambda r: r.start)
+    plain = Tokenizer.from_file(file)
+    plain.encode_special_tokens = True
+    want = defaultdict(list)
+    for r in docs.collect():
+        ids = plain.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want[r.doc_id].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    got, at = defaultdict(list), 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+        got[r.doc_id].append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    order = [r.doc_id for r in rows]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    one = token_store.document_ids(spark, path, 20).collect()
+    assert [len(r.ids) for r in one] == [n for n, _ in want[20]]
+
+
+def test_empty_token_store(spark):
+    path = new_path(spark, "test-tokens")
+    token_store.write_store(spark.createDataFrame([], DOCS), path, public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_store.read_digest(spark, path).count() == 0
+
+
+# --- preference pairs
+
+
+def turns(spark, rows):
+    return spark.createDataFrame(rows, "pair_id long, turn long, role string, text string, prompt string")
+
+
+def test_preference_pairs(spark):
+    row = lambda p, i, r, t: (p, i, r, t, "x")
+    chosen = [row(1, 0, "user", "hi"), row(1, 1, "assistant", "yes"), row(2, 0, "user", "q"), row(3, 0, "user", None), row(4, 0, "user", "alone"), row(None, 0, "user", "none")]
+    rejected = [row(1, 0, "user", "hi"), row(1, 1, "assistant", "no"), row(1, 2, "user", "?"), row(2, 0, "user", "other"), row(3, 0, "user", None), row(3, 1, "assistant", "é")]
+    got = {r.pair_id: r for r in preference.format_preferences(turns(spark, chosen), turns(spark, rejected)).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1].prompt == "<|user|>\nhi\n" and got[1].chosen == "<|assistant|>\nyes\n" and got[1].n_shared_turns == 1
+    assert got[1].rejected == "<|assistant|>\nno\n<|user|>\n?\n"
+    assert [got[1].rejected[s.start : s.end] for s in got[1].rejected_mask] == ["no\n"]
+    assert got[2].prompt == "" and got[2].chosen_mask == []
+    assert got[3].chosen == "" and got[3].prompt == "<|user|>\n\n" and [got[3].rejected[s.start : s.end] for s in got[3].rejected_mask] == ["é\n"]
+    assert preference.format_preferences(turns(spark, []), turns(spark, rejected)).count() == 0
+
+
+# --- toxicity
+
+
+def labelled(n, seed):
+    rng = random.Random(seed)
+    syllables = ["an", "the", "re", "ti", "on", "ed", "in", "or", "sh", "ea"]
+    bad = ["worthless", "pathetic", "scumbag", "clowns"]
+    rows = []
+    for i in range(n):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(30, 120))]
+        toxic = int(rng.random() < 0.3)
+        for _ in range(4 * toxic):
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        rows.append((i, " ".join(words), toxic))
+    return rows
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = labelled(900, 6)
+    docs = spark.createDataFrame([(d, t, "s") for d, t, _ in rows] + [(900, None, "s"), (901, "", "s"), (None, "x", "s"), (0, rows[0][1], "s")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(0, None), (None, 1), (5, 7)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == 904 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    truth = {d: y for d, _, y in rows}
+    for r in got:
+        if r.doc_id is not None:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert toxicity.score_toxicity(docs, labels.limit(0)).where("score > 0").count() == 0
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+# --- mixing
+
+
+def brute_mix(rows):
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > 3 * sizes[s] + 1e-9}
+        if not over:
+            target |= {s: weight[s] * level for s in free}
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+        free -= over
+    return sizes, target
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_mix_meets_targets(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 40))), rng.choice(["a", "b", "c", "d", None, "big", "big", "big"])) for i in range(500)]
+    rows += [(1000, None, "a"), (None, "w w", "a"), (1, "w", "tiny"), (1, "w", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    sizes, target = brute_mix(rows)
+    by = {d: s for d, _, s in rows}
+    taken = defaultdict(int)
+    for r in got.collect():
+        s = "tiny" if r.source_size == sizes["tiny"] and r.size == 1 and r.doc_id == 1 else by[r.doc_id]
+        if r.doc_id == 1 and r.source_size != sizes["tiny"]:
+            s = rows[1][2]
+        assert r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6 and r.taken <= 3 * r.size
+        taken[s] += r.taken
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= 40
+    counts = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
+    words = sum(len((dict((d, t) for d, t, _ in rows)[d] or "").split()) * n for d, n in counts.items())
+    assert abs(words - sum(taken.values())) <= 6 and mixing.mix(docs.limit(0)).count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    item = prose(30)
+    texts = [prose(100) for _ in range(30)]
+    near = prose(200)
+    texts += [near, near, near + " more words"]  # 30, 31, 32: 30 stays
+    texts += [prose(80) + " " + item + " " + prose(80), prose(20), None, ""]  # 33 is contaminated, 34 to 36 are too short
+    docs_of(spark, texts, lambda i: f"s{i % 2}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append(sorted(r.doc_id for r in docs.collect()))
+        if k < 4:
+            assert sorted(docs.columns) == ["doc_id", "lang", "n_chars", "source", "text"]
+    assert seen[0] == [*range(34)] and seen[1] == [*range(31), 33] and seen[2] == [*range(31)]
+    assert seen[3] == seen[4] and set(seen[3]) <= set(seen[2])
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, docs.collect()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontaminate, licenses, line_quality, mixing, ngram_join, preference, token_rollup, token_store
+from . import bwt_dedup, decontaminate, licenses, line_quality, mixing, ngram_join, preference, token_rollup, token_store, toxicity
 from .common import new_path, read_table
 from .oracle import ORACLE
 
@@ -47,6 +47,10 @@ def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", "n_shared_turns", "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -60,7 +64,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_rollup, op2_line_quality, op3_token_store, op4_ngram_join, op5_decontaminate, op6_preference_pairs, op8_license_scan, op9_bwt_dedup, op10_mix_sources)
+    f.__name__: f for f in (op1_token_rollup, op2_line_quality, op3_token_store, op4_ngram_join, op5_decontaminate, op6_preference_pairs, op7_toxicity, op8_license_scan, op9_bwt_dedup, op10_mix_sources)
 }
 
 
