@@ -22,6 +22,8 @@ table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,10 +100,15 @@ def _constants() -> list[int]:
     return [(i * step + step // 3) % (1 << 64) - (1 << 63) for i in range(BANDS)]
 
 
+def _gram_hash(word_at: Callable[[int], Column]) -> Column:
+    return F.xxhash64(*[word_at(k) for k in range(WIDTH)])
+
+
 def _template_index(spark) -> dict[str, tuple[list[str], list[int]]]:
     """name: (5-grams, their hashes by Spark's own function)."""
-    rows = [(name, g) for name, text in TEMPLATES.items() for g in _grams(_template_words(text))]
-    hashed = spark.createDataFrame(rows, "name string, gram string").withColumn("hash", F.xxhash64("gram")).collect()
+    rows = [(name, g, g.split(" ")) for name, text in TEMPLATES.items() for g in _grams(_template_words(text))]
+    hashed = spark.createDataFrame(rows, "name string, gram string, words array<string>")
+    hashed = hashed.select("name", "gram", _gram_hash(lambda k: F.get("words", F.lit(k))).alias("hash")).collect()
     found: dict[str, tuple[list[str], list[int]]] = {name: ([], []) for name in TEMPLATES}
     for r in hashed:
         found[r["name"]][0].append(r["gram"])
@@ -109,6 +116,11 @@ def _template_index(spark) -> dict[str, tuple[list[str], list[int]]]:
     return found
 
 
+def _least_shingles(hashes: list[int]) -> list[int]:
+    """The shingles of a template that are its minimum under one of the functions."""
+    return [min(h ^ c for h in hashes) ^ c for c in _constants()]
+
+
 def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in sorted(set(values))])
 
@@ -149,8 +161,11 @@ def license_notices(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _once(texts, ["doc_id"], words=normal_words(F.col("text")))
-    gram = lambda i: F.array_join(F.slice("words", i, WIDTH), " ")
-    rows = _once(rows, ["doc_id", "words"], hashes=F.transform(_positions(F.size("words") - WIDTH + 1), lambda i: F.xxhash64(gram(i))))
+    rows = _once(rows, ["doc_id", "words"], hashes=F.transform(_positions(F.size("words") - WIDTH + 1, 0), lambda i: _gram_hash(lambda k: F.get("words", i + k))))
+    # equal minima mean that the window holds the template's own least shingle: a text without
+    # any of these cannot be retrieved, and its minima need not be computed
+    decisive = [h for k, names in by_class.items() for n in names for h in (index[n][1] if k < 0 else _least_shingles(index[n][1]))]
+    rows = rows.where(F.arrays_overlap("hashes", _longs(decisive)))
     tiny = F.arrays_overlap("hashes", _longs([h for n in by_class[-1] for h in index[n][1]])) if -1 in by_class else F.lit(False)
     count = F.ceil(F.size("hashes") / BLOCK).cast("int")
     blocks = F.transform(_positions(count, 0), lambda i: F.slice("hashes", i * BLOCK + 1, BLOCK))
