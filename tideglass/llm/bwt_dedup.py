@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import inverse, mix64, powers, stage_table
+from .common import inverse, maybe_broadcast, mix64, powers, stage_table
 
 LENGTH = 400
 ANCHOR = 200
@@ -44,6 +44,10 @@ ANCHOR = 200
 GROUP = 4096
 #: Segments that one run of the column-wise construction takes together.
 BATCH = 4096
+#: Copies of one text that a task takes together.
+COPIES = 256
+#: Texts with more copies are broadcast up to so many rows, and joined by shuffle beyond.
+BROADCAST_ROWS = 500_000
 #: Windows of a text that are hashed together.
 CHUNK = 1 << 20
 
@@ -259,8 +263,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCH
     compared = kinds.where("kinds > 1").select(*segment, "lead", "kinds", "at.*")
     wanted = compared.groupBy("key_1", "key_2").agg(F.collect_list(F.struct("anchor", "lead", "hash_1", "hash_2", "first", (F.col("last") + length).alias("stop"))).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"key_1": "in_1", "key_2": "in_2"})
-    held = keyed.join(wanted, (F.col("key_1") == F.col("in_1")) & (F.col("key_2") == F.col("in_2"))).select("text", "wanted")
-    # a repeated text brings its segments again
+    held = keyed.join(wanted, (F.col("key_1") == F.col("in_1")) & (F.col("key_2") == F.col("in_2"))).select("key_1", "key_2", "text", "wanted")
+    # copies would bring the same segments again
+    held = held.dropDuplicates(["key_1", "key_2"]).select("text", "wanted")
     cut = held.mapInArrow(_cut_out("bytes"), _CUT)
     large = kinds.where(F.col("kinds") > group).select("anchor").distinct().withColumnRenamed("anchor", "large")
     cut = stage_table(cut.join(large, F.col("anchor") == F.col("large"), "left"), "cut")
@@ -275,8 +280,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCH
     runs = stage_table(runs.union(single).union(whole), "runs")
 
     placed = found.select("key_1", "key_2", "first", "hash_1", "hash_2").join(runs, ["hash_1", "hash_2"])
+    # copies of a text bring equal spans: a set, which is cut down before it is shuffled
     spans = placed.select("key_1", "key_2", F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop")).alias("span"))
-    return spans.groupBy("key_1", "key_2").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    return spans.groupBy("key_1", "key_2").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
 def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -296,10 +302,21 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int, anchor: int, group: int) -> DataFrame:
+    """row (the other columns by place: c0, c1, ...), text, spans. Texts with over ``COPIES`` copies are dealt to several tasks."""
     spans = stage_table(repeated_intervals(docs, length, anchor, group).withColumnsRenamed({"key_1": "in_1", "key_2": "in_2"}), "spans")
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    keys = docs.select(*_key())
+    often = keys.groupBy("key_1", "key_2").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("pieces")).where("pieces > 1")
+    often = stage_table(often.withColumnsRenamed({"key_1": "hot_1", "key_2": "hot_2"}), "often")
+    few = maybe_broadcast(often, BROADCAST_ROWS)
+
+    row = F.struct(F.lit(True).alias("here"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]).alias("row")
     keyed = docs.select(row, F.col("text").cast("string").alias("text"), *_key())
-    return keyed.join(spans, (F.col("key_1") == F.col("in_1")) & (F.col("key_2") == F.col("in_2")), "left").select("row", "text", "spans")
+    keyed = keyed.join(few, (F.col("key_1") == F.col("hot_1")) & (F.col("key_2") == F.col("hot_2")), "left")
+    keyed = keyed.select("row", "text", "key_1", "key_2", F.pmod(F.monotonically_increasing_id(), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"))
+    dealt = spans.join(few, (F.col("in_1") == F.col("hot_1")) & (F.col("in_2") == F.col("hot_2")), "left")
+    dealt = dealt.select("in_1", "in_2", "spans", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("in_piece"))
+    same = (F.col("key_1") == F.col("in_1")) & (F.col("key_2") == F.col("in_2")) & (F.col("piece") == F.col("in_piece"))
+    return keyed.join(dealt, same, "left").select("row", "text", "spans")
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -318,7 +335,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
     rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, anchor, group)
-    return rows.select("row.doc_id", "text", "spans").mapInArrow(_digest, _DIGEST)
+    return rows.select(F.col("row.c0").alias("doc_id"), "text", "spans").mapInArrow(_digest, _DIGEST)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
@@ -331,5 +348,5 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gro
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch[n] for n in keep)], ["cut_text", *keep])
 
     rows = _with_spans(docs, length, anchor, group)
-    out = rows.mapInArrow(cut, f"cut_text string, row {docs.schema.simpleString()}")
-    return out.select(*[F.col("cut_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    out = rows.mapInArrow(cut, f"cut_text string, row {rows.schema['row'].dataType.simpleString()}")
+    return out.select(*[F.col("cut_text" if c == "text" else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
