@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import WORD
+from .common import WORD, stage_table
 
 KEYS = ("source", "lang", "tokenizer_version")
 #: The two tokenizer versions that the query counts by.
@@ -91,15 +91,17 @@ def document_changes(docs: DataFrame, labels: DataFrame) -> list[tuple[str, Data
     under pieces-2. Labels are reduced to one row per doc_id (the lowest quality) first.
     """
     first, second = VERSIONS
-    load = docs.select(F.lit("insert").alias("op"), "source", "lang", F.lit(first).alias("tokenizer_version"), count_tokens("text", first).alias("n_tokens"), *_no_old())
+    # counted once, so that no text is shuffled or read again
+    counted = docs.select("doc_id", "source", "lang", count_tokens("text", first).alias("n_first"), count_tokens("text", second).alias("n_second"))
+    counted = stage_table(counted, "counts")
+    load = counted.select(F.lit("insert").alias("op"), "source", "lang", F.lit(first).alias("tokenizer_version"), F.col("n_first").alias("n_tokens"), *_no_old())
     quality = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("labelled")).agg(F.min("quality").alias("quality"))
-    marked = docs.join(quality, F.col("doc_id") == F.col("labelled"))
+    marked = counted.join(quality, F.col("doc_id") == F.col("labelled"))
     bad = F.coalesce(F.col("quality"), F.lit(1)) == 0
     follow = marked.select(
         F.when(bad, "delete").otherwise("revise").alias("op"), "source", "lang",
-        F.when(bad, first).otherwise(second).alias("tokenizer_version"),
-        F.when(bad, count_tokens("text", first)).otherwise(count_tokens("text", second)).alias("n_tokens"),
-        F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit(first).alias("old_version"), count_tokens("text", first).alias("old_tokens"),
+        F.when(bad, first).otherwise(second).alias("tokenizer_version"), F.when(bad, F.col("n_first")).otherwise(F.col("n_second")).alias("n_tokens"),
+        F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit(first).alias("old_version"), F.col("n_first").alias("old_tokens"),
     )
     return [("load", load), ("labelled", follow)]
 
