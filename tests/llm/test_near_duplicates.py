@@ -178,3 +178,17 @@ def test_repeat_removal_of_odd_tables(spark):
     assert sorted(r.n_removed for r in bwt_dedup.removal_digest(docs).collect()) == [0, 1000, 1000, 1000]
     out = bwt_dedup.deduplicate(docs)
     assert out.columns == docs.columns and sorted((r.text or "-") for r in out.collect()) == ["-", "-", "-", "-"]
+
+
+def test_many_copies_dealt_to_several_tasks(spark, monkeypatch):
+    rng = random.Random(21)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, hot = prose(500), prose(900)
+    rows = [(i, hot) for i in range(40)] + [(100 + i, prose(200) + shared + prose(100)) for i in range(3)] + [(200, prose(700)), (None, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, bwt_dedup.removal_digest(docs).collect()), key=str)
+    monkeypatch.setattr(bwt_dedup, "COPIES", 4)
+    assert sorted(map(tuple, bwt_dedup.removal_digest(docs).collect()), key=str) == whole
+    removed = {r[0]: (r[2], r[3]) for r in whole}
+    assert len(whole) == len(rows) and removed[0] == (900, 1) and removed[200] == (0, 0) and removed[None] == (0, 0)
+    assert all(500 <= removed[100 + i][0] <= 510 and removed[100 + i][1] == 1 for i in range(3))
