@@ -136,6 +136,15 @@ def test_ratings_by_component_equal_one_fold(spark):
     assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], want[k], strict=True))
 
 
+def test_account_components_of_a_long_chain(spark):
+    n, rng = 3000, random.Random(5)
+    ids = rng.sample(range(10 * n), n + 1)
+    maps = [(m, [ids[m]], [ids[m + 1]]) for m in range(n)] + [(n, [-1], [-2])]
+    df = spark.createDataFrame(maps, "match_id long, radiant array<bigint>, dire array<bigint>")
+    got = {r.match_id: r.component for r in ratings.account_components(df).collect()}
+    assert got == dict.fromkeys(range(n), min(ids)) | {n: -2}
+
+
 def test_rating_update_moves_and_shrinks():
     (w,), (l,) = ratings.update([(25.0, 25 / 3)], [(25.0, 25 / 3)])  # noqa: E741
     assert w[0] > 25 > l[0] and w[1] < 25 / 3 and abs(w[0] + l[0] - 50) < 1e-9

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .components import components
 
 MU, SIGMA = 25.0, 25.0 / 3
 BETA, TAU = 25.0 / 6, 25.0 / 300
@@ -49,24 +50,15 @@ def fold(maps: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in _RATED.split(", ")])
 
 
-def account_components(maps: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """match_id, component: maps whose accounts are linked, by label propagation over (map, account).
+def account_components(maps: DataFrame) -> DataFrame:
+    """match_id, component: maps whose accounts are linked, directly or over other maps.
 
-    Each round is a written checkpoint, which cuts the lineage.
+    Every account of a map is tied to the map's least account; the component is its least account.
     """
     pairs = checkpointed(maps.select("match_id", F.explode(F.array_union("radiant", "dire")).alias("account")))
-    label = checkpointed(pairs.groupBy("match_id").agg(F.min("account").alias("label")))
-    for _ in range(max_rounds):
-        accounts = pairs.join(label, "match_id").groupBy("account").agg(F.min("label").alias("least"))
-        new = pairs.join(accounts, "account").groupBy("match_id").agg(F.min("least").alias("label"))
-        new = new.join(label.withColumnRenamed("label", "old"), "match_id")
-        # jump: the label is an account too, and may have a lesser one
-        jump = accounts.select(F.col("account").alias("label"), F.col("least").alias("beyond"))
-        new = checkpointed(new.join(jump, "label", "left").select("match_id", "old", F.least("label", "beyond").alias("label")))
-        label = new.select("match_id", "label")
-        if new.where("old <> label").isEmpty():
-            break
-    return label.withColumnRenamed("label", "component")
+    least = checkpointed(pairs.groupBy("match_id").agg(F.min("account").alias("node")))
+    labels = components(pairs.join(least, "match_id").select(F.col("account").alias("u"), F.col("node").alias("v")), checkpointed)
+    return least.join(labels, "node").select("match_id", F.col("label").alias("component"))
 
 
 def ratings_before(maps: DataFrame) -> DataFrame:
