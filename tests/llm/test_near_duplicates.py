@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from tideglass.llm import bwt_dedup, decontaminate, ngram_join
+from tideglass.llm import bwt_dedup, decontaminate, graph, ngram_join
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -192,3 +192,13 @@ def test_many_copies_dealt_to_several_tasks(spark, monkeypatch):
     removed = {r[0]: (r[2], r[3]) for r in whole}
     assert len(whole) == len(rows) and removed[0] == (900, 1) and removed[200] == (0, 0) and removed[None] == (0, 0)
     assert all(500 <= removed[100 + i][0] <= 510 and removed[100 + i][1] == 1 for i in range(3))
+
+
+def test_components_of_a_long_chain(spark):
+    n, rng = 4000, random.Random(9)
+    ids = rng.sample(range(10 * n), n)
+    edges = [*zip(ids, ids[1:]), (-5, -5), (-7, -6), (-6, -7)]
+    rng.shuffle(edges)
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(ids, min(ids)) | {-5: -5, -6: -7, -7: -7}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -1,29 +1,16 @@
-"""Connected components of an undirected graph given as an edge table."""
+"""Connected components of an undirected graph, staged in the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.components import components as settle
 from .common import stage_table
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of ``edges`` (u long, v long); label: the component's least node.
 
-    Every round takes the least label among the neighbours and then that label's own label, so
-    that labels cross a chain in about the logarithm of its length. Each round is written, which
-    cuts the lineage. An edge table without rows gives no rows.
+    Every table of a round is written, which cuts the lineage.
     """
-    both = stage_table(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stage_table(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = labels.select(F.col("node").alias("v"), F.col("label").alias("near"))
-        least = both.join(near, "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = labels.join(least, "node").join(jump, "label").select("node", F.col("label").alias("old"), F.least("label", "near", "beyond").alias("label"))
-        new = stage_table(new, "labels")
-        labels = new.select("node", "label")
-        if new.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return settle(edges, lambda df: stage_table(df, "components"))
