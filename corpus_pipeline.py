@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token store of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
     path = new_path(spark, "tokens")
-    token_store.write_store(docs, path, public_tokenizers.path(token_store.TOKENIZER))
+    token_store.write_store(docs, path, public_tokenizers.path(token_store.TOKENIZER), special=True)
     return token_store.read_digest(spark, path)
 
 

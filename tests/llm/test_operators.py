@@ -128,6 +128,25 @@ def test_token_store_round_trip(spark):
     assert [len(r.ids) for r in one] == [n for n, _ in want[20]]
 
 
+def test_literals_of_added_tokens_have_their_ids():
+    file, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    plain, made = Tokenizer.from_file(file), token_store.Encoder(file, special=True)
+    around = ["", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t ", "x", "x ", " x", "x\n", "\nx", "é!", "　"]
+    texts = [*ODD, *(o + end + o for o in ODD), *(a + end + b for a in around for b in around), "x\n\n " + end + end + " it's"]
+    for _ in range(2):  # learnt, then remembered
+        assert [np.frombuffer(x, made.dtype).tolist() for x in made.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(made.encode([f"foo {end} bar"])[0], made.dtype).tolist() == [21943, 220, 50256, 2318]
+
+
+def test_query_keeps_ids_of_literals(spark, tmp_path):
+    from tideglass.llm import queries
+
+    text = "foo <|endoftext|> bar"
+    docs_of(spark, [text]).write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = queries.op3_token_store(spark, str(tmp_path)).collect()
+    assert (row.n_tokens, row.ids_crc32) == (5, zlib.crc32(np.array([21943, 220, 50256, 2318, 2], "<u4").tobytes()))
+
+
 def test_empty_token_store(spark):
     path = new_path(spark, "test-tokens")
     token_store.write_store(spark.createDataFrame([], DOCS), path, public_tokenizers.path("byte_bpe_50k.json"))

@@ -29,7 +29,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_path(spark, "tokens")
-    token_store.write_store(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path(token_store.TOKENIZER))
+    token_store.write_store(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path(token_store.TOKENIZER), special=True)
     return token_store.read_digest(spark, path)
 
 

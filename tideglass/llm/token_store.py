@@ -119,15 +119,19 @@ class Encoder:
     sides of a single line break, so ids of the pieces in between, each encoded by the library,
     are the ids of the whole text. A piece of Latin letters and trailing ASCII punctuation is
     two units of that pattern, which go straight to the library's BPE model; all other pieces
-    go through its whole encoder.
+    go through its whole encoder. With ``special`` the literal of an added token in a text has
+    that token's id, as the library gives it by default; it is cut out before the pattern is
+    applied, so such a text is encoded as one piece. Without it, the literal is read as prose.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        literals = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.literal = re.compile("|".join(literals) or r"(?!)")
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.typecode = {2: "H", 4: "I"}[self.dtype.itemsize]
@@ -152,7 +156,7 @@ class Encoder:
         other, tokenize, marks, letters, code = [], self.model.tokenize, self.marks, self.letters, self.typecode
         for word in new:
             plain = _PLAIN.fullmatch(word) if self.byte_level else None
-            if not plain:
+            if not plain or self.literal.search(word):
                 other.append(word)
                 continue
             core, mark = plain.groups()
@@ -168,21 +172,22 @@ class Encoder:
             marks[""] = b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if _NO_BLANK.search(t) else t.split("\n") if not _NO_BREAK.search(t) else [t] for t in texts]
-        lines = [[[x] if _NO_BLANK.search(x) else x.split(" ") for x in p] for p in split]
+        whole = [self.literal.search(t) is not None for t in texts]
+        split = [[t] if w or _NO_BLANK.search(t) else t.split("\n") if not _NO_BREAK.search(t) else [t] for t, w in zip(texts, whole, strict=True)]
+        lines = [[[x] if w or _NO_BLANK.search(x) else x.split(" ") for x in p] for p, w in zip(split, whole, strict=True)]
         self._learn(self.first, {w[0] for p in lines for w in p}, "")
         self._learn(self.later, {x for p in lines for w in p for x in w[1:]}, " ")
         first, later, newline = self.first, self.later, self.newline
         return [newline.join([first[w[0]] + b"".join([later[x] for x in w[1:]]) for w in p]) for p in lines]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = False) -> Encoder:
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 _SEGMENTS = (
@@ -191,9 +196,9 @@ _SEGMENTS = (
 )
 
 
-def _segment_writer(path: str, end_id: int):
+def _segment_writer(path: str, end_id: int, special: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        made, part, seq = encoder(path, special), TaskContext.get().partitionId(), 0
         end = np.array([end_id], made.dtype).tobytes()
         doc_ids, parts, bounds, total = [], [], [], 0
 
@@ -229,15 +234,17 @@ def _arrow_segments() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in _SEGMENTS.split(", "))])
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, special: bool = False) -> None:
     """Write the ids of ``docs`` (doc_id, text) to the folder ``path``.
 
-    tokenizer: path of a tokenizers file, the same on every executor.
+    tokenizer: path of a tokenizers file, the same on every executor; special: whether the
+    literal of an added token ('<|endoftext|>') has that token's id, as in the library's ids
+    with add_special_tokens=False, or is read as prose.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_segment_writer(tokenizer, end_id), _SEGMENTS).write.parquet(f"{path}/segments")
+    ordered.mapInArrow(_segment_writer(tokenizer, end_id, special), _SEGMENTS).write.parquet(f"{path}/segments")
     segments = spark.read.schema(_SEGMENTS).parquet(f"{path}/segments").select("part", "seq", "n_tokens")
     # one row per range partition: a bounded table
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
