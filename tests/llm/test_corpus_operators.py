@@ -86,6 +86,38 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert line_quality.score_lines(docs.limit(0)).count() == 0 and line_quality.clean_documents(docs.limit(0)).count() == 0
 
 
+def test_a_shared_line_counts_every_distinct_document(spark):
+    """Forty footers, each in 200 different two-line documents: all go, whatever their hashes."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(40):
+        footer = " ".join(word() for _ in range(6))
+        rows += [(len(rows) + i, " ".join(word() for _ in range(60)) + "\n" + footer, f"h{k}", k) for i in range(200)]
+    # mostly boilerplate: twenty shared lines and one of its own
+    shared = [" ".join(word() for _ in range(8)) for _ in range(20)]
+    first = len(rows)
+    rows += [(first + i, "\n".join([*shared, " ".join(word() for _ in range(9))]), "poor", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, hash int")
+    got = {r.doc_id: r for r in line_quality.score_lines(docs).collect()}
+    assert all(got[i].n_frequent_line_words == 6 and got[i].kept for i in range(first))
+    assert all(got[first + i].n_frequent_line_words == 160 and not got[first + i].kept for i in range(200))
+
+
+def test_lines_at_the_limit_long_texts_and_odd_letters(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    odd = "İstanbul ΟΔΟΣ ΣΑΣ straße"
+    rows = [(i, " ".join(word() for _ in range(70)) + "\n" + odd + ("\nat limit here" if i < 30 else "") + ("\nover limit here" if i < 31 else ""), "h", "x", b"k") for i in range(60)]
+    rows.append((60, " ".join(word() for _ in range(200_000)) + "\n" + odd, "h", "x", b"k"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lines string, key binary")
+    got = {r.doc_id: r.n_frequent_line_words for r in line_quality.score_lines(docs).collect()}
+    assert got == {i: 4 + 3 * (i < 31) for i in range(61)}
+    kept = line_quality.clean_documents(docs).collect()
+    assert len(kept) == 61 and not any(odd in r.text or "over limit" in r.text for r in kept)
+    assert sum("at limit here" in r.text for r in kept) == 30 and kept[0].lines == "x"
+
+
 # --- token store
 
 

@@ -4,13 +4,17 @@ Base rules read one text alone. The method then hashes every normalised line (lo
 runs of white space as one blank), counts for each host in how many distinct documents a line
 stands, removes the lines above the limit, and rejects documents that keep too few words.
 
-Distinct documents: two documents of a host with the same smallest line hash count once. Exact
-copies always share it and near copies mostly do, so that a text which was copied often does
-not turn its own lines into boilerplate.
+Distinct documents: rows of a host with the same whole text are one document, all others are
+distinct. So exact copies never turn their own lines into boilerplate; over the limit, near
+copies do, as each of them is a document that holds the lines. The query takes ``source`` as
+the host.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a
-null host is a host of its own; repeated rows get equal verdicts and count once; an empty table
-gives no rows. Verdicts depend on (host, text) only.
+null host is a host of its own; repeated rows get equal verdicts and count once; a line that
+stands twice in a document counts once; a line in exactly as many documents as the limit stays;
+very long texts are read whole; columns other than doc_id, text and the host are ignored by the
+digest and kept by ``clean_documents``; an empty table gives no rows. Verdicts depend on (host,
+text) only.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 _SCHEMA = (
     "doc_id long, host string, key binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, signature long, lines array<struct<hash:long,n:int>>"
+    "n_repeat_words long, lines array<struct<hash:long,n:int>>"
 )
 
 
@@ -84,14 +88,13 @@ def features(text: str) -> tuple:
         len(_SYMBOLS.findall(text)),
         dups,
         repeat_words(words),
-        min((x["hash"] for x in hashed), default=None),
         hashed,
     )
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))]
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "signature", "lines"]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int32())]))]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
@@ -114,9 +117,11 @@ def parsed(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(rows: DataFrame, min_docs: int = LINE_MIN_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """Lines above the limit: host, hash, n_docs."""
-    lines = rows.select("host", "signature", F.explode("lines.hash").alias("hash"))
-    counts = lines.groupBy("host", "hash").agg(F.count_distinct("signature").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = rows.where(F.col("signature").isNotNull()).groupBy("host").agg(F.count_distinct("signature").alias("host_docs"))
+    # one row for each distinct text first, so that plain counts combine before the shuffle
+    texts = rows.where(F.size("lines") > 0).groupBy("key").agg(F.first("host").alias("host"), F.first("lines.hash").alias("hashes"))
+    texts = stage_table(texts.select("host", "hashes"), "texts")
+    counts = texts.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    hosts = texts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     hosts = hosts.withColumnRenamed("host", "of")
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > share * F.col("host_docs")).select("host", "hash", "n_docs")
 

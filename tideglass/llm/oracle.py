@@ -45,11 +45,11 @@ reps AS (
   SELECT r, count(DISTINCT p) AS n_repeat_words FROM (
     SELECT r, i AS p FROM seen UNION ALL SELECT r, i + 1 FROM seen UNION ALL SELECT r, i + 2 FROM seen) GROUP BY r
 ),
-sig AS (SELECT r, min(md5(norm)[1:15]) AS sig FROM worded GROUP BY r),
+doc AS (SELECT r, md5(text) AS doc FROM d WHERE len(w) > 0),
 freq AS (
-  SELECT host, norm, count(DISTINCT sig) AS c FROM worded JOIN sig USING (r) GROUP BY host, norm HAVING count(DISTINCT sig) > {LINE_MIN_DOCS}
+  SELECT host, norm, count(DISTINCT doc) AS c FROM worded JOIN doc USING (r) GROUP BY host, norm HAVING count(DISTINCT doc) > {LINE_MIN_DOCS}
 ),
-hosts AS (SELECT host, count(DISTINCT sig) AS hc FROM d JOIN sig USING (r) GROUP BY host),
+hosts AS (SELECT host, count(DISTINCT doc) AS hc FROM d JOIN doc USING (r) GROUP BY host),
 common AS (SELECT freq.host, norm FROM freq JOIN hosts ON freq.host IS NOT DISTINCT FROM hosts.host WHERE c > {LINE_SHARE} * hc),
 removed AS (
   SELECT r, sum(n) AS removed FROM worded JOIN common ON worded.host IS NOT DISTINCT FROM common.host AND worded.norm = common.norm GROUP BY r
