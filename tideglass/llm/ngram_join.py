@@ -1,28 +1,30 @@
 """Similarity join on word 5-gram Jaccard with Bayesian candidate pruning.
 
 1. Texts with equal shingle sets form a class; only classes are compared.
-2. Bands of six of 240 MinHash values name buckets. A class is tied to the least class of each
-   of its buckets; connected components of these ties hold every candidate pair. With 40 bands
-   a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**6)**40 = 5e-6, and only
-   if no chain of others ties it either.
-3. Components are cut in blocks of about ``BLOCK`` classes. For each pair of blocks one worker
-   compares MinHash values sixteen at a time. With m of n values equal and a uniform prior, the
-   similarity has posterior Beta(m + 1, n - m + 1); a pair is dropped as soon as the posterior
-   probability of reaching the threshold is under ``TOLERANCE``.
+2. Bands of six of 240 MinHash values name buckets. Only classes that share a bucket are
+   compared: with 40 bands a pair at similarity 0.8 shares none with probability
+   (1 - 0.8**6)**40 = 5e-6. A class's home is the least class of all its buckets, and a home's
+   classes are cut in blocks of about ``BLOCK``. A class is sent to its own block and to each
+   block that one of its buckets reaches, once, however many buckets they share.
+3. For each pair of blocks one worker compares MinHash values sixteen at a time. With m of n
+   values equal and a uniform prior, the similarity has posterior Beta(m + 1, n - m + 1); a pair
+   is dropped as soon as the posterior probability of reaching the threshold is under
+   ``TOLERANCE``.
 4. Pairs that are left are verified exactly on their shingle sets. Workers return link counts
    and a spanning forest of the links, so rows stay in proportion to classes, not to pairs.
 
 Defined results: a text of 1 to 4 words has one shingle, of all its words; a null or empty text
 has no shingle, no links and is its own class; rows with null doc_id take part, and their class
-has a null id if it holds no other row; repeated rows are copies of one another; an empty table
-gives no rows; columns other than doc_id and text are ignored.
+has a null id if it holds no other row; repeated rows are copies of one another; ties for the
+first document fall by doc_id, then by text; an empty table gives no rows; very long texts are
+shingled whole; columns other than doc_id and text are ignored, and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +105,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_SHINGLED = "cid long, comp long, blocks int, copies long, sig binary, shingles binary"
+_SHINGLED = "cid long, block long, reached array<long>, copies long, sig binary, shingles binary"
 
 
 def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["cid", "comp", "blocks", "copies", "sig"]
+    names = ["cid", "block", "reached", "copies", "sig"]
     for batch in batches:
         for start, stop, texts in slices(batch["text"]):
             values, offsets = shingles(texts, WIDTH)
@@ -176,7 +178,7 @@ _LINKS = "kind int, a long, b long"
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (comp, i, j): link counts (kind 0) and forest edges (kind 1) of each block pair."""
+    """Rows sorted by (i, j): link counts (kind 0) and forest edges (kind 1) of each block pair."""
 
     def solve(rows: dict) -> pa.RecordBatch | None:
         cids = np.array(list(rows), np.int64)
@@ -205,10 +207,10 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, at = {}, None
     for batch in batches:
         for row in batch.to_pylist():
-            if (row["comp"], row["i"], row["j"]) != at:
+            if (row["i"], row["j"]) != at:
                 if len(rows) > 1 and (out := solve(rows)):
                     yield out
-                rows, at = {}, (row["comp"], row["i"], row["j"])
+                rows, at = {}, (row["i"], row["j"])
             rows[row["cid"]] = row  # a repeated row brings its class again
     if len(rows) > 1 and (out := solve(rows)):
         yield out
@@ -231,19 +233,24 @@ def near_classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFr
 
     buckets = classes.select("cid", F.explode("bands").alias("band"))
     roots = buckets.groupBy("band").agg(F.min("cid").alias("root"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("band", "root")
-    ties = buckets.join(roots, "band").where(F.col("cid") != F.col("root")).select(F.col("cid").alias("u"), F.col("root").alias("v")).distinct()
-    comps = components(ties).withColumnRenamed("label", "comp")
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-
-    members = comps.join(sizes, "comp").join(classes.select(F.col("cid").alias("node"), "copies", "rep", "sig"), "node")
-    members = members.select(F.col("node").alias("cid"), "comp", "blocks", "copies", "sig", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    shared = stage_table(buckets.join(roots, "band"), "buckets")
+    homes = shared.groupBy("cid").agg(F.min("root").alias("home"))
+    parts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("cid"), F.col("parts"))
+    placed = stage_table(homes.join(parts, "home").select("cid", F.xxhash64("home", part).alias("block")), "blocks")
+    # blocks of a bucket, one row each; a bucket of one home's n classes has n / BLOCK of them
+    present = shared.join(placed, "cid").select("band", F.col("block").alias("with")).distinct()
+    reached = shared.select("cid", "band").join(present, "band").select("cid", "with").distinct()
+    reached = reached.groupBy("cid").agg(F.collect_list("with").alias("reached"))
+
+    members = placed.join(reached, "cid").join(classes.select(F.col("cid").alias("node"), "copies", "rep", "sig"), F.col("cid") == F.col("node"))
+    members = members.select("cid", "block", "reached", "copies", "sig", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
     members = stage_table(members, "members")
     same = (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
-    held = texts.join(maybe_broadcast(members, BROADCAST_ROWS // 10), same).select("cid", "comp", "blocks", "copies", "sig", "text")
-    held = held.mapInArrow(_shingle, _SHINGLED).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cid", "copies", "sig", "shingles")
-    dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    held = texts.join(maybe_broadcast(members, BROADCAST_ROWS // 10), same).select("cid", "block", "reached", "copies", "sig", "text")
+    dealt = held.mapInArrow(_shingle, _SHINGLED).withColumn("with", F.explode("reached"))
+    dealt = dealt.select(F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cid", "copies", "sig", "shingles")
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
     found = stage_table(dealt.mapInArrow(_link, _LINKS), "links")
 
     counts = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
@@ -295,12 +302,3 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     if not again.isEmpty():
         kept = kept.dropDuplicates(["id", "key"])
     return kept.select("row.*")
-
-
-def candidates_needed(similarity: float = THRESHOLD) -> float:
-    """Probability that a pair of this similarity shares a bucket."""
-    return 1 - (1 - similarity**ROWS) ** BANDS
-
-
-def block_count(n: int, block: int = BLOCK) -> int:
-    return ceil(n / block)
