@@ -99,7 +99,7 @@ def test_join_of_odd_tables(spark):
 def test_posterior_bounds():
     bounds = ngram_join.least_matches()
     assert list(bounds) == sorted(bounds) and bounds[-1] < 0.8 * ngram_join.HASHES
-    assert ngram_join.candidates_needed(0.8) > 1 - 1e-5
+    assert 1 - (1 - 0.8**ngram_join.ROWS) ** ngram_join.BANDS > 1 - 1e-5
 
 
 def test_decontamination_equals_brute_force(spark):
@@ -194,6 +194,26 @@ def test_many_copies_dealt_to_several_tasks(spark, monkeypatch):
     assert all(500 <= removed[100 + i][0] <= 510 and removed[100 + i][1] == 1 for i in range(3))
 
 
+def test_repeats_across_the_cuts_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "CHUNK", 101)
+    texts = repeats()
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, row string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_dedup.removal_digest(docs, 40, 20).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts, 40)
+
+
+def test_near_duplicates_of_a_chain_in_small_blocks(spark):
+    """Neighbours of a long chain of revisions are linked, and each class goes to few blocks."""
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, " ".join(words[i : i + 100]), "x") for i in range(0, 300, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string")
+    want = brute_links([(i, t) for i, (_, t, _) in enumerate(rows)])
+    signed, classes = ngram_join.near_classes(docs, block=4)
+    got = {r.doc_id // 3: (r.group_id // 3, r.links + r.copies - 1) for r in signed.join(classes, "set_key").collect()}
+    assert got == want
+
+
 def test_components_of_a_long_chain(spark):
     n, rng = 4000, random.Random(9)
     ids = rng.sample(range(10 * n), n)

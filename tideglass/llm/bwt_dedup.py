@@ -23,7 +23,9 @@ windows are counted by 128-bit hash instead, in rows that spread over all tasks.
 Defined results: a null text is an empty one; texts under ``LENGTH`` bytes keep all bytes;
 repeated rows repeat one another's strings, so long ones go entirely; a run of one byte repeats
 itself; cutting may leave bytes that are no valid UTF-8, and ``deduplicate`` then writes U+FFFD
-for what was cut in the middle; an empty table gives no rows.
+for what was cut in the middle; texts of any length are read in overlapping pieces of ``CHUNK``
+windows; columns other than doc_id and text are ignored by the digest and kept by
+``deduplicate``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,9 +116,14 @@ def _find_segments(length: int, anchor: int):
         def made(held: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
+        # a text that comes again shows that its segments are repeated; further copies add nothing
+        seen: dict[tuple[int, int], bool] = {}
         for batch in batches:
             held, size = [], 0
             for one, two, text in zip(batch["key_1"].to_pylist(), batch["key_2"].to_pylist(), batch["text"], strict=True):
+                if seen.get((one, two)):
+                    continue
+                seen[one, two] = (one, two) in seen
                 data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 for key, first, last, at, h1, h2 in segments(data, length, anchor):
                     n = len(key)
@@ -319,7 +326,7 @@ def _with_spans(docs: DataFrame, length: int, anchor: int, group: int) -> DataFr
     return keyed.join(dealt, same, "left").select("row", "text", "spans")
 
 
-_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeats boolean"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,13 +334,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"], strict=True):
             data, runs = (text.as_py() or "").encode(), merge(spans.as_py())
-            rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(data, runs)).hexdigest()))
-        kinds = [pa.int64()] * 4 + [pa.string()]
+            rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept := _kept(data, runs)).hexdigest(), len(kept), bool(runs)))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in _DIGEST.split(", ")])
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, repeats (something was removed) of every row of ``docs`` (doc_id, text)."""
     rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, anchor, group)
     return rows.select(F.col("row.c0").alias("doc_id"), "text", "spans").mapInArrow(_digest, _DIGEST)
 
