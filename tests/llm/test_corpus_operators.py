@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideglass.llm import line_quality, mixing, preference, token_rollup, token_store, toxicity
@@ -41,9 +42,45 @@ def test_rollup_adds_signed_changes_and_commits_once(spark):
     want = {("a", "en", "v2"): (1, 13), (None, None, "v1"): (1, 0)}
     assert as_dict(token_rollup.totals(spark, path)) == want
     token_rollup.commit_batch(first.limit(0), path, "3")
-    base = new_path(spark, "test-rollup")
-    token_rollup.compact(spark, path, base)
-    assert as_dict(token_rollup.totals(spark, base)) == want
+    for _ in range(2):
+        token_rollup.compact(spark, path)
+        assert as_dict(token_rollup.totals(spark, path)) == want
+        token_rollup.commit_batch(first, path, "1")  # a replay after compaction
+        assert as_dict(token_rollup.totals(spark, path)) == want
+    token_rollup.commit_batch(first, path, "4")
+    assert as_dict(token_rollup.totals(spark, path)) == want | {("a", "en", "v1"): (2, 20), (None, None, "v1"): (2, 0)}
+
+
+def test_rollup_of_lost_and_doubled_attempts_and_of_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(token_rollup, "FOLD_AFTER", 2)
+    path = new_path(spark, "test-rollup")
+    one = changes(spark, [("insert", "a", "en", "v1", 10, None, None, None, None)])
+    token_rollup.reduce_deltas(token_rollup.signed_deltas(one)).write.parquet(f"{path}/deltas/lost")  # its driver was lost before the record
+    assert as_dict(token_rollup.totals(spark, path)) == {}
+    for attempt in ("b", "a"):  # two drivers commit one batch at the same time
+        token_rollup.reduce_deltas(token_rollup.signed_deltas(one)).write.parquet(f"{path}/deltas/{attempt}")
+        token_rollup._publish(spark, path, "0", attempt)
+    assert as_dict(token_rollup.totals(spark, path)) == {("a", "en", "v1"): (1, 10)}
+    for k in range(1, 5):
+        token_rollup.commit_batch(one, path, str(k))
+    assert as_dict(token_rollup.totals(spark, path)) == {("a", "en", "v1"): (5, 50)}
+    assert len(token_rollup._live_attempts(spark, path)) <= 3
+
+
+def test_document_changes_and_counts(spark):
+    texts = ["a b, c", "d e", None, "long " * 50_000, "d e"]
+    docs = docs_of(spark, texts).withColumn("n_first", F.lit("clash"))
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (2, 0), (9, 0), (None, 0), (4, None)], "doc_id long, quality int")
+    path = new_path(spark, "test-rollup")
+    for batch_id, rows in token_rollup.document_changes(docs, labels):
+        token_rollup.commit_batch(rows, path, batch_id)
+    # 0 and 2 are deleted, 1 and 4 are counted anew, 3 stays
+    want = {("src0", "en", "words-1"): (1, 50_000), ("src1", "en", "pieces-2"): (2, 4)}
+    assert as_dict(token_rollup.totals(spark, path)) == want
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(file)
+    got = {r.doc_id: r.n_vocabulary_tokens for r in token_rollup.vocabulary_counts(docs, file).collect()}
+    assert got == {i: len(plain.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
 # --- line quality
@@ -136,14 +173,15 @@ def test_elias_fano_round_trip():
 ODD = ["a  b", " a b ", "a\n b", "a\n\nb", "\na", "a\n", "a \nb", "a\t\nb", "x' s 's", "it's 12 3", "<|endoftext|> x", "tab\t x", "a　 b", "naïve Übung, s'il?", "a b   c", "\x1c a", "😀 😀\n😀"]
 
 
-def test_token_store_round_trip(spark):
+@pytest.mark.parametrize("special", [True, False])
+def test_token_store_round_trip(spark, special):
     texts = [*ODD, "", None, "word " * 20_000, "same", "same"]
     docs = spark.createDataFrame([(len(texts) - i if i % 7 else None, t, "extra") for i, t in enumerate(texts)] + [(5, "again", "extra")], "doc_id long, text string, ids string")
     path, file = new_path(spark, "test-tokens"), public_tokenizers.path("byte_bpe_50k.json")
-    token_store.write_store(docs, path, file)
+    token_store.write_store(docs, path, file, special=special)
     rows = sorted(token_store.read_digest(spark, path).collect(), key=lambda r: r.start)
     plain = Tokenizer.from_file(file)
-    plain.encode_special_tokens = True
+    plain.encode_special_tokens = not special
     want = defaultdict(list)
     for r in docs.collect():
         ids = plain.encode(r.text or "", add_special_tokens=False).ids + [2]

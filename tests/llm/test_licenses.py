@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from tideglass.llm import licenses as L
 
@@ -9,15 +12,24 @@ def prose(rng, n):
     return " ".join(rng.choice(FILLER) for _ in range(n))
 
 
-def brute(texts):
+def words_of(text):
+    found = (re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower()))
+    return [w for w in found if w]
+
+
+def grams_of(text):
+    words = words_of(text)
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def brute(texts, templates=None):
     out = set()
     for d, text in enumerate(texts):
-        words = L._template_words(text or "")
-        own = set(L._grams(words))
-        for name, notice in L.TEMPLATES.items():
-            grams = L._grams(L._template_words(notice))
-            shared = len(own & set(grams))
-            if shared >= 0.8 * len(grams) - 1e-9:
+        own = grams_of(text or "")
+        for name, notice in (templates or L.TEMPLATES).items():
+            grams = grams_of(notice)
+            shared = len(own & grams)
+            if grams and shared >= 0.8 * len(grams) - 1e-9:
                 out.add((d, name, shared))
     return out
 
@@ -44,3 +56,28 @@ def test_main_path_is_native(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert sorted(str(r.doc_id) for r in found.collect()) == ["1", "1", "None"]
+
+
+def test_templates_of_hundreds_of_words(spark):
+    rng = random.Random(8)
+    templates = {f"t{n}": prose(rng, n) for n in (4, 5, 30, 104, 150, 300, 700)}
+    templates["twin"] = templates["t150"]  # a tie
+    texts = [prose(rng, n) for n in (0, 50, 2000)]
+    for text in templates.values():
+        words = text.split(" ")
+        for lead in (0, 3, 11, 500):
+            texts.append(prose(rng, lead) + " " + text + " " + prose(rng, rng.randrange(60)))
+        texts += [" ".join(words[: int(len(words) * 0.9)]), prose(rng, 7) + " " + " ".join(words[: len(words) // 2]), " ".join(words[:10] + ["changed"] + words[10:])]
+    texts.append(prose(rng, 30_000) + " " + templates["t104"] + " " + prose(rng, 30_000))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, words string")
+    table = spark.createDataFrame([*templates.items(), (None, "no name has this one here"), ("no text", None)], "license string, text string")
+    got = {(r.doc_id, r.license, r.n_shared) for r in L.license_notices(docs, table).collect()}
+    assert got == brute(texts, templates)
+    assert L.license_notices(docs, table.limit(0)).count() == 0
+
+
+def test_too_many_templates_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    table = spark.createDataFrame([("a", "w " * (L.MAX_TEMPLATE_WORDS + 1))], "license string, text string")
+    with pytest.raises(ValueError):
+        L.license_notices(docs, table)

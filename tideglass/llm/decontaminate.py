@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles, slices
+from .common import shingles, slices, stage_table
 
 THRESHOLD = 0.8
 WIDTH = 5
 BASE = 4
 LEVELS = 6
 HASHES = 64
-#: Test items are broadcast in blocks of so many.
+#: Test items are broadcast in blocks of about so many rows and characters.
 ITEMS_PER_BLOCK = 20_000
+CHARS_PER_BLOCK = 16 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(5))
 _MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -128,11 +129,18 @@ _PAIRS = "doc_id long, item_id long, n_shared long, n_item long, containment dou
 
 
 def _indexes(benchmark: DataFrame):
-    """The items in broadcast blocks of a bounded number of rows, one block at a time."""
-    spark, items = benchmark.sparkSession, benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, ceil(items.count() / ITEMS_PER_BLOCK))
+    """The items in broadcast blocks of bounded rows and text, one block at a time.
+
+    Rows are numbered first, so that repeated items are dealt to different blocks. Documents are
+    read once for each block; a benchmark of up to ``ITEMS_PER_BLOCK`` items is one.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("n"))
+    items = stage_table(items, "items")
+    size = items.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, ceil(size["rows"] / ITEMS_PER_BLOCK), ceil(size["chars"] / CHARS_PER_BLOCK))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        rows = items.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b).collect()
         yield spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in rows]))
 
 

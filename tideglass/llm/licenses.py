@@ -15,19 +15,25 @@ A notice in a text is found by the template it follows:
 3. Retrieved templates are verified by exact shingle containment of at least 0.8, on the words
    themselves.
 
-Defined results: a null or empty text has no notice; a text of under 5 words has no shingle; a
-notice that stands twice is reported once per row; repeated rows give repeated results; an empty
-table gives no rows; columns other than doc_id and text are ignored.
+Templates are a table (license, text): whole license texts or single notices. It becomes part of
+the plan, so it is refused beyond ``MAX_TEMPLATE_WORDS`` words in all. ``TEMPLATES`` is a small
+one of notices.
+
+Defined results: a null or empty text has no notice; a text of under 5 words has no shingle, and
+a template of under 5 words or without a name is not searched for; of templates with one name the
+5-grams count together; a notice that stands twice is reported once per row; a text that reaches
+the threshold for several templates, equal ones included, gives a row for each; repeated rows give
+repeated results; very long texts are read whole; empty tables give no rows; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD
 
 THRESHOLD = 0.8
 WIDTH = 5
@@ -36,6 +42,8 @@ BANDS = 24
 TINY = 4
 #: Shingles in the smallest block; a window is three blocks.
 BLOCK = 4
+#: Words of all templates together, which the plan holds.
+MAX_TEMPLATE_WORDS = 200_000
 
 # Public license notices as they stand in texts.
 TEMPLATES = {
@@ -63,17 +71,6 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"), F.lit(0)), lambda w: F.length(w) > 0)
 
 
-def _template_words(text: str) -> list[str]:
-    import re
-
-    found = (re.sub(r"^[\W_]+|[\W_]+$", "", w) for w in re.findall(WORD, text.lower()))
-    return [w for w in found if w]
-
-
-def _grams(words: list[str]) -> list[str]:
-    return list(dict.fromkeys(" ".join(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)))
-
-
 def _positions(count: Column, first: int = 1) -> Column:
     """first, first + 1, ...: ``count`` positions, none if it is not positive."""
     return F.when(count >= 1, F.sequence(F.lit(first), count + (first - 1))).otherwise(F.array().cast("array<int>"))
@@ -104,16 +101,23 @@ def _gram_hash(word_at: Callable[[int], Column]) -> Column:
     return F.xxhash64(*[word_at(k) for k in range(WIDTH)])
 
 
-def _template_index(spark) -> dict[str, tuple[list[str], list[int]]]:
+def template_table(spark: SparkSession) -> DataFrame:
+    """The built-in templates: license, text."""
+    return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
+
+
+def _template_index(templates: DataFrame) -> dict[str, tuple[list[str], list[int]]]:
     """name: (5-grams, their hashes by Spark's own function)."""
-    rows = [(name, g, g.split(" ")) for name, text in TEMPLATES.items() for g in _grams(_template_words(text))]
-    hashed = spark.createDataFrame(rows, "name string, gram string, words array<string>")
-    hashed = hashed.select("name", "gram", _gram_hash(lambda k: F.get("words", F.lit(k))).alias("hash")).collect()
-    found: dict[str, tuple[list[str], list[int]]] = {name: ([], []) for name in TEMPLATES}
-    for r in hashed:
-        found[r["name"]][0].append(r["gram"])
-        found[r["name"]][1].append(r["hash"])
-    return found
+    named = templates.where("license IS NOT NULL AND text IS NOT NULL").select(F.col("license").alias("name"), normal_words(F.col("text")).alias("words"))
+    total = named.agg(F.sum(F.size("words"))).first()[0] or 0
+    if total > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"templates have {total} words; the bound is {MAX_TEMPLATE_WORDS}")
+    grams = named.select("name", "words", F.posexplode(gram_strings(F.col("words"))).alias("i", "gram"))
+    hashed = grams.select("name", "gram", _gram_hash(lambda k: F.get("words", F.col("i") + k)).alias("hash")).collect()  # bounded by the words
+    found: dict[str, dict[str, int]] = {}
+    for r in sorted(hashed):
+        found.setdefault(r["name"], {})[r["gram"]] = r["hash"]
+    return {name: (list(g), list(g.values())) for name, g in found.items()}
 
 
 def _least_shingles(hashes: list[int]) -> list[int]:
@@ -152,9 +156,17 @@ def class_of(shingles: int) -> int:
     return k
 
 
-def license_notices(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, n_shared, n_template, containment, first_word of every notice found."""
-    index = _template_index(docs.sparkSession)
+_NOTICES = "doc_id long, license string, n_shared long, n_template long, containment double, first_word int"
+
+
+def license_notices(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, n_shared, n_template, containment, first_word of every notice found.
+
+    templates: license, text; the built-in ones if not given.
+    """
+    index = _template_index(template_table(docs.sparkSession) if templates is None else templates)
+    if not index:
+        return docs.sparkSession.createDataFrame([], _NOTICES)
     by_class: dict[int, list[str]] = {}
     for name, (grams, _) in index.items():
         by_class.setdefault(class_of(len(grams)), []).append(name)

@@ -11,7 +11,10 @@ completion of the text and the closing line break of every assistant turn.
 Defined results: turns are ordered by turn number (nulls first), then role, then text; a null
 role or text is rendered as empty, and equals only another null; a pair without a common turn
 has an empty prompt; if one conversation is a prefix of the other its completion is empty and
-has no spans; a conversation without partner gives no row; repeated rows are repeated turns.
+has no spans; a conversation without partner gives no row; repeated rows are repeated turns;
+turns with equal number, role and text are told apart by nothing and stand side by side; long
+turns are rendered whole; other columns are ignored. Turn texts are rendered as they are: one
+that contains ``<|role|>`` looks like a header, and only the masks tell it from a real one.
 """
 
 from __future__ import annotations

@@ -5,17 +5,31 @@ and a revision takes the old count away under its old key and adds the new one.
 rows are additive, so a batch is reduced to one row per group before it is written, and the
 totals are the sums over all committed batches.
 
-A batch is committed by overwriting its own folder ``batch_id=<id>``: committing it again, after
-a lost driver or by mistake, leaves the totals as they were. ``compact`` folds committed batches
-into one base batch.
-
-Defined results: null source, language or version are groups of their own; a null count is 0;
-repeated rows of a batch are separate changes; groups whose documents and tokens are both 0 are
-dropped from the totals; an empty batch commits an empty folder; other columns are ignored.
+A rollup is a folder of two parts. ``deltas/<attempt>`` holds one reduced table of signed sums,
+under a name that no other attempt has, so nothing that a reader sees is ever overwritten.
+``ledger`` is an append-only table of commit records; only the append of a record makes its
+attempt count. A batch whose id has a record is committed: committing it again, after a lost
+driver or by mistake, adds nothing, and of two attempts at the same time the lesser name counts.
+``compact`` writes the present totals as one attempt whose record names the batches it covers;
+ids stay in the ledger, so a batch that comes again after that adds nothing either. Totals are
+the newest such base and the batches it does not cover, and every ``FOLD_AFTER`` uncovered
+batches ``commit_batch`` compacts by itself.
+
+Tokens are counted by pattern in the JVM (``count_tokens``) or by a vocabulary of the tokenizers
+library (``vocabulary_counts``); each is a version of its own.
+
+Defined results: null source, language or version are groups of their own; a null count is 0, and
+so is a null text's; repeated rows of a batch are separate changes; very long texts are counted
+whole; groups whose documents and tokens are both 0 are dropped from the totals; an empty batch is
+committed and adds nothing; a folder without commits has no totals; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -26,13 +40,36 @@ KEYS = ("source", "lang", "tokenizer_version")
 #: The two tokenizer versions that the query counts by.
 VERSIONS = {"words-1": WORD, "pieces-2": r"\w+|[^\w\x20\x09-\x0D]"}
 
+#: Uncovered batches after which a commit compacts.
+FOLD_AFTER = 16
+
 _DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
+_LEDGER = "batch_id string, attempt string, covers array<string>, at timestamp"
 
 
 def count_tokens(text: str, version: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(VERSIONS[version])), F.lit(0)).cast("long")
 
 
+def vocabulary_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``docs`` with n_vocabulary_tokens: ids of the text in a tokenizers file, special tokens not added.
+
+    tokenizer: path of the file, the same on every executor.
+    """
+    from .token_store import encoder
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = encoder(tokenizer, special=True)
+        for batch in batches:
+            counts = []
+            for at in range(0, batch.num_rows, 200):
+                ids = made.encode([t.as_py() or "" for t in batch["text"].slice(at, 200)])
+                counts += [len(x) // made.dtype.itemsize for x in ids]
+            yield batch.append_column("n_vocabulary_tokens", pa.array(counts, pa.int64()))
+
+    return docs.mapInArrow(count, docs.schema.add("n_vocabulary_tokens", "long"))
+
+
 def signed_deltas(changes: DataFrame) -> DataFrame:
     """Changes to signed rows.
 
@@ -58,19 +95,53 @@ def reduce_deltas(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def _ledger(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_LEDGER).parquet(f"{path}/ledger")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LEDGER)
+
+
+def _publish(spark: SparkSession, path: str, batch_id: str | None, attempt: str, covers: DataFrame | None = None) -> None:
+    """Append one commit record; ``covers``: a column of batch ids, for a base."""
+    record = spark.range(1) if covers is None else covers.agg(F.collect_set("batch_id").alias("ids"))
+    ids = F.lit(None).cast("array<string>") if covers is None else F.col("ids")
+    record = record.select(F.lit(batch_id).cast("string").alias("batch_id"), F.lit(attempt).alias("attempt"), ids.alias("covers"), F.current_timestamp().alias("at"))
+    record.coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+
+
 def commit_batch(changes: DataFrame, path: str, batch_id: str) -> None:
     """Reduce a batch of changes and commit it under ``batch_id``; the same batch may come again."""
-    reduce_deltas(signed_deltas(changes)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    spark, attempt = changes.sparkSession, uuid.uuid4().hex
+    if not _ledger(spark, path).where(F.col("batch_id") == batch_id).isEmpty():
+        return
+    reduce_deltas(signed_deltas(changes)).write.parquet(f"{path}/deltas/{attempt}")
+    _publish(spark, path, batch_id, attempt)
+    if len(_live_attempts(spark, path)) > FOLD_AFTER:
+        compact(spark, path)
+
+
+def _base(spark: SparkSession, path: str):
+    """The newest record of a base, or None."""
+    return _ledger(spark, path).where("covers IS NOT NULL").orderBy(F.size("covers").desc(), F.col("at").desc(), "attempt").select("attempt", "covers").first()
+
+
+def _live_attempts(spark: SparkSession, path: str) -> list[str]:
+    """Attempts that make up the totals: the base and, for each batch it does not cover, the least attempt."""
+    base = _base(spark, path)
+    batches = _ledger(spark, path).where("covers IS NULL").groupBy("batch_id").agg(F.min("attempt").alias("attempt")).collect()  # at most FOLD_AFTER are not covered
+    covered = set(base["covers"]) if base else set()
+    return ([base["attempt"]] if base else []) + sorted(r["attempt"] for r in batches if r["batch_id"] not in covered)
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """Signed sums of every committed batch."""
-    try:
-        return spark.read.schema(_DELTAS + ", batch_id string").option("basePath", path).parquet(f"{path}/batch_id=*")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _DELTAS + ", batch_id string")
+    """Signed sums of the base and of every batch it does not cover."""
+    attempts = _live_attempts(spark, path)
+    if not attempts:
+        return spark.createDataFrame([], _DELTAS)
+    return spark.read.schema(_DELTAS).parquet(*[f"{path}/deltas/{a}" for a in attempts])
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
@@ -78,9 +149,18 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     return reduce_deltas(committed(spark, path)).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
 
-def compact(spark: SparkSession, path: str, into: str) -> None:
-    """Write the totals of ``path`` as the base batch of a new folder ``into``."""
-    totals(spark, path).write.mode("overwrite").parquet(f"{into}/batch_id=base")
+def compact(spark: SparkSession, path: str) -> None:
+    """Fold every batch committed so far into one base; batch ids stay known."""
+    live = set(_live_attempts(spark, path))
+    base = _base(spark, path)
+    seen = _ledger(spark, path).where("covers IS NULL")
+    ids = [r["batch_id"] for r in seen.where(F.col("attempt").isin(list(live))).select("batch_id").collect()] + (base["covers"] if base else [])
+    if not ids:
+        return
+    attempt = uuid.uuid4().hex
+    tables = spark.read.schema(_DELTAS).parquet(*[f"{path}/deltas/{a}" for a in sorted(live)])
+    reduce_deltas(tables).write.parquet(f"{path}/deltas/{attempt}")
+    _publish(spark, path, None, attempt, spark.createDataFrame([(i,) for i in ids], "batch_id string"))
 
 
 def document_changes(docs: DataFrame, labels: DataFrame) -> list[tuple[str, DataFrame]]:

@@ -13,8 +13,8 @@ and the boundaries between them, relative to the segment, in Elias-Fano form:
 short scan, and no 64-bit table is kept. ``bases`` holds the ids before each segment.
 
 Defined results: a null or empty text has the end id alone; rows with equal doc_id are stored
-one after the other in the order of their texts; null ids come first; an empty table gives an
-empty store; other columns are ignored.
+one after the other in the order of their texts; null ids come first; very long texts are
+encoded whole; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ def encoder(path: str, special: bool = False) -> Encoder:
 
 
 _SEGMENTS = (
-    "part int, seq int, doc_ids array<long>, n_tokens long, id_bytes int, ids binary, "
+    "part int, seq int, first_id long, last_id long, doc_ids array<long>, n_tokens long, id_bytes int, ids binary, "
     "low_bits int, low binary, high binary, samples binary"
 )
 
@@ -204,9 +204,9 @@ def _segment_writer(path: str, end_id: int, special: bool):
 
         def close() -> pa.RecordBatch:
             nonlocal seq, doc_ids, parts, bounds, total
-            code = ef_encode(np.array(bounds, np.int64))
+            code, known = ef_encode(np.array(bounds, np.int64)), [d for d in doc_ids if d is not None]
             row = {
-                "part": part, "seq": seq, "doc_ids": doc_ids, "n_tokens": total, "id_bytes": made.dtype.itemsize, "ids": b"".join(parts),
+                "part": part, "seq": seq, "first_id": min(known, default=None), "last_id": max(known, default=None), "doc_ids": doc_ids, "n_tokens": total, "id_bytes": made.dtype.itemsize, "ids": b"".join(parts),
                 "low_bits": code["low_bits"], "low": code["low"], "high": code["high"], "samples": code["samples"],
             }
             seq += 1
@@ -234,7 +234,7 @@ def _arrow_segments() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in _SEGMENTS.split(", "))])
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, special: bool = False) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, special: bool = True) -> None:
     """Write the ids of ``docs`` (doc_id, text) to the folder ``path``.
 
     tokenizer: path of a tokenizers file, the same on every executor; special: whether the
@@ -294,6 +294,10 @@ def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_ids(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
-    """Ids of one document, by two ``select`` calls on its segment."""
-    segments = read_segments(spark, path).where(F.array_contains("doc_ids", F.lit(doc_id))).withColumn("wanted", F.lit(doc_id).cast("long"))
+    """Ids of one document, by two ``select`` calls on its segment.
+
+    The scan skips every row group whose segments' ids do not reach ``doc_id``.
+    """
+    within = F.lit(doc_id).between(F.col("first_id"), F.col("last_id"))
+    segments = read_segments(spark, path).where(within & F.array_contains("doc_ids", F.lit(doc_id))).withColumn("wanted", F.lit(doc_id).cast("long"))
     return segments.mapInArrow(_read_ids, "doc_id long, ids array<long>")
