@@ -27,10 +27,13 @@ def build_session(app: str = "tideglass", master: str | None = None, **conf: str
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: cuts the lineage.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset (tests, one
-    machine) a temporary one is made.
+    The cluster names the folder in spark.checkpoint.dir and must do so; only where everything
+    runs in one process (tests, one machine) a temporary one is made.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideglass-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tideglass-"))
     return df.checkpoint()
