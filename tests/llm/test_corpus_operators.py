@@ -1,5 +1,6 @@
 """Small tables and odd cases for the other corpus operators, and the pipeline."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -244,6 +246,17 @@ def test_preference_pairs(spark):
     assert preference.format_preferences(turns(spark, []), turns(spark, rejected)).count() == 0
 
 
+def test_preference_pairs_of_ties_and_long_turns(spark):
+    row = lambda p, i, r, t: (p, i, r, t, "x")
+    long_ = "é " * 200_000
+    chosen = [row(1, None, "user", "a"), row(1, 1, "user", "b"), row(1, 1, "user", "b"), row(1, 1, "assistant", long_)]
+    rejected = [row(1, None, "user", "a"), row(1, 1, "assistant", long_), row(1, 1, "user", "b"), row(1, 2, None, "<|assistant|>\nforged")]
+    (got,) = preference.format_preferences(turns(spark, chosen), turns(spark, rejected)).collect()
+    assert got.n_shared_turns == 3 and got.prompt == f"<|user|>\na\n<|assistant|>\n{long_}\n<|user|>\nb\n"
+    assert got.chosen == "<|user|>\nb\n" and got.chosen_mask == []
+    assert got.rejected == "<||>\n<|assistant|>\nforged\n" and got.rejected_mask == []
+
+
 # --- toxicity
 
 
@@ -277,6 +290,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_equal_plain_python(spark):
+    """The query's scores, computed again text by text with zstandard alone."""
+    rows = labelled(700, 9)
+    extra = [(5000, "word " * 30_000 + "scumbag clowns " * 9), (5001, ""), (5002, None), (5003, "pathetic")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t, _ in rows] + [(d, t, "x") for d, t in extra] * 2, "doc_id long, text string, labelled string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(*toxicity.training_rows(docs, labels))
+    assert len(model.toxic) == len(model.ordinary) and model.toxic != model.ordinary
+    packers = []
+    for content in (model.ordinary, model.toxic):
+        parameters = zstandard.ZstdCompressionParameters(**toxicity._PARAMETERS, write_content_size=False, write_dict_id=False, write_checksum=False)
+        packers.append(zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
+
+    def plain(text):
+        words, gains = (text or "").lower().split(), []
+        for i in range(0, len(words), 8):
+            window = (" " + " ".join(words[i : i + 8]) + " ").encode()
+            gains.append(len(packers[0].compress(window)) - len(packers[1].compress(window)))
+        top = sorted((min(max(g, 0), 8) for g in gains), reverse=True)[:3] + [0, 0, 0]
+        counts = [sum(g >= k for g in gains) for k in (1, 2, 3, 4)]
+        x = [1.0, *(g / 4 for g in top[:3]), *(math.log1p(c) for c in counts), *(math.sqrt(c / max(len(gains), 1)) for c in counts)]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, model.weights, strict=True))))))
+
+    got = toxicity.score_toxicity(docs, labels).collect()
+    texts = {d: t for d, t, _ in rows} | dict(extra)
+    assert len(got) == len(rows) + 8
+    assert all(abs(r.score - plain(texts[r.doc_id])) < 1e-9 for r in got)
+
+
 # --- mixing
 
 

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from .common import WORD, stage_table
@@ -67,7 +68,7 @@ def vocabulary_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                 counts += [len(x) // made.dtype.itemsize for x in ids]
             yield batch.append_column("n_vocabulary_tokens", pa.array(counts, pa.int64()))
 
-    return docs.mapInArrow(count, docs.schema.add("n_vocabulary_tokens", "long"))
+    return docs.mapInArrow(count, StructType([*docs.schema.fields, StructField("n_vocabulary_tokens", LongType())]))
 
 
 def signed_deltas(changes: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled rows: one on ordinary text, one on toxic
-text. The toxic one is trained on the pieces of toxic text that stand out from ordinary text
-(words and beginnings of words whose share of documents differs by more than a calibrated number
-of standard errors), with the ordinary text before them, so that both compress common prose
-alike and the difference in length is what toxic pieces save. Every window of eight words of a text is compressed with
-both; the differences of its windows make the text's features, and a logistic curve fitted on
-other labelled rows turns them into a score. Which standard error bounds the pieces is chosen on
-those rows too, by log loss.
+Two zstandard dictionaries are trained on labelled rows with ``zstandard.train_dictionary``: one
+on windows of ordinary text, one on the windows of toxic text that ordinary text does not explain.
+These are one word wide, and are all places of toxic rows where a word, or its beginning, is in a
+larger share of toxic than of ordinary documents by more than a calibrated number of standard
+errors; wider windows bring the same prose as ordinary ones and drown what is toxic. The toxic
+dictionary is laid over the ordinary one, and the ordinary one has as many bytes trained on other
+ordinary windows in its place, so that both compress common prose alike and the difference in
+length is what toxic windows save. Every window of eight words of a text is compressed with both;
+the differences of its windows make the text's features, and a logistic curve fitted on other
+labelled rows turns them into a score. The bound of the windows and the size of the dictionary
+are calibrated on those rows too, by log loss over folds.
 
 Training rows are a bounded sample: of rows with crc32(doc_id as text) mod 3 other than 1, up to
 ``TRAIN_DOCS`` per label in the order of a hash of the id, and up to ``TRAIN_BYTES`` of their
@@ -16,7 +19,8 @@ texts. Labels, language, source and doc_id are no inputs of a score.
 Defined results: a null or empty text scores as one without windows; with no usable rows of a
 label in the sample every text scores the share of toxic labels (0 without labels); a doc_id
 with several labels counts as toxic if one of them is 1; a null doc_id is not held out; repeated
-rows get equal scores; an empty table gives no rows; other columns are ignored.
+rows get equal scores; very long texts are read whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +42,9 @@ WINDOW = 8
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 8 << 20
 ORDINARY_BYTES = 8192
-#: Candidate bounds, in standard errors, of how far a piece stands out.
-BOUNDS = (4.0, 6.0, 8.0, 10.0, 14.0, 20.0)
-MAX_PIECES = 2000
+#: Candidate bounds, in standard errors, of how far a toxic window stands out, and dictionary sizes.
+BOUNDS = (5.0, 6.0, 8.0)
+TOXIC_BYTES = (1024, 1536)
 #: Lengths of the beginnings of words that are pieces too, the blank before included.
 STEMS = (5, 6, 7)
 PREDICTED_FROM = 0.7
@@ -54,10 +58,27 @@ def windows(text: str, width: int = WINDOW) -> list[bytes]:
     return [(" " + " ".join(words[i : i + width]) + " ").encode() for i in range(0, len(words), width)]
 
 
+def _forms(word: str) -> list[str]:
+    """A word without outer punctuation, after a blank, and its beginnings."""
+    bare = word.strip(".,;:!?\"'()|*#")
+    return [" " + bare, *((" " + bare)[:n] for n in STEMS if len(bare) >= n)] if bare else []
+
+
 def _pieces(text: str) -> set[str]:
-    """Words and the beginnings of words, each after a blank."""
-    words = {" " + w for w in (x.strip(".,;:!?\"'()|*#") for x in _WORDS.findall(text.lower())) if w}
-    return words | {w[:n] for w in words for n in STEMS if len(w) > n}
+    return {f for w in _WORDS.findall(text.lower()) for f in _forms(w)}
+
+
+def toxic_windows(texts: list[str], pieces: set[str]) -> list[bytes]:
+    """The one-word windows of ``texts`` of which a form is in ``pieces``, repeats included."""
+    return [f" {w} ".encode() for t in texts for w in _WORDS.findall(t.lower()) if not pieces.isdisjoint(_forms(w))]
+
+
+def train_dictionary(size: int, samples: list[bytes]) -> bytes:
+    """zstandard's trained dictionary, or the samples themselves where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples[:: max(1, len(samples) // 60_000)]).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
 @dataclass
@@ -156,23 +177,18 @@ def train(rows: list[tuple[str, int]], base_rate: float) -> Model:
     y = np.array([label for _, label in fit])
     weight = np.where(y == 1, base_rate / max(y.mean(), 1e-9), (1 - base_rate) / max(1 - y.mean(), 1e-9))
     samples = [w for t in ordinary for w in windows(t)]
-    try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples[:: max(1, len(samples) // 60_000)]).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on
-        base = b"".join(samples)[-ORDINARY_BYTES:]
+    base = train_dictionary(ORDINARY_BYTES, samples)
     pieces, best = standing_out(toxic, ordinary), None
     for bound in BOUNDS:
-        chosen = [p for z, p in pieces if z >= bound][-MAX_PIECES:]
-        if not chosen:
-            continue
-        content = ("".join(chosen) + " ").encode()
-        # ordinary text of the same length, so that distances in both dictionaries are alike
-        filler = b"".join(samples[1::7])[: len(content)].rjust(len(content))
-        model = Model(base + filler, base + content, (), base_rate)
-        x = np.stack([features(model.differences(t)) for t, _ in fit])
-        loss = _loss(x, y, weight)
-        if best is None or loss < best[0]:
-            best = (loss, Model(model.ordinary, model.toxic, tuple(fit_logistic(x, y, weight)), base_rate))
+        chosen = toxic_windows(toxic, {p for z, p in pieces if z >= bound})
+        for size in TOXIC_BYTES if chosen else ():
+            content = train_dictionary(size, chosen)
+            other = train_dictionary(size, samples[1::2])[-len(content) :].rjust(len(content))
+            model = Model(base + other, base + content, (), base_rate)
+            x = np.stack([features(model.differences(t)) for t, _ in fit])
+            loss = _loss(x, y, weight)
+            if best is None or loss < best[0]:
+                best = (loss, Model(model.ordinary, model.toxic, tuple(fit_logistic(x, y, weight)), base_rate))
     return best[1] if best else Model(b"", b"", (), base_rate)
 
 
@@ -189,7 +205,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOC
     rows = []
     for label in (0, 1):
         ids = usable.where(F.col("toxic") == label).orderBy(order, "labelled").limit(per_label)  # at most per_label ids: safe to broadcast
-        own = docs.where(F.col("text").isNotNull()).join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))
+        own = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))
         size = 0
         for r in own.select("text", "labelled").orderBy(order, "labelled", F.xxhash64("text")).limit(2 * per_label).toLocalIterator():
             rows.append((r["text"], label))
