@@ -196,11 +196,31 @@ PAGE = """==Format==
 """
 
 
-def test_stage_table_function(spark):
-    spark.udtf.register("stage_formats", text.StageFormats)
-    spark.createDataFrame([(PAGE,)], "page string").createOrReplaceTempView("wiki")
-    rows = spark.sql("SELECT s.* FROM wiki, LATERAL stage_formats(page, 2026) s").collect()
-    assert [(r.name, r.stage_type, r.default_format, r.formats_seen, str(r.start_date), str(r.end_date)) for r in rows] == [("Group Stage", "group", "bo2", "bo2", "2026-08-13", "2026-08-16"), ("Playoffs", "playoff", "bo3", "bo5,bo3", "2026-08-20", "2026-08-23")]
+def test_stages_of_pages(spark):
+    nested = """== Format ==
+** not yet a stage {{abbr/bo1}}
+*'''Group Stage''' (May 30 - June 2, 2025) {{abbr/bo2}}
+**'''Phase One''' {{abbr/bo1}}, every tie is {{abbr/bo3}}
+**'''Phase Two''' Feb 30
+*** {{abbr/bo3}}; {{abbr/bo5}} {{abbr/bo3}}
+*'''Grand Final'''
+*All matches of the grand final are {{Abbr/Bo5}}
+===Deeper===
+==Teams==
+*'''Playoffs''' {{abbr/bo5}}
+"""
+    pages = spark.createDataFrame([(1, PAGE, 2026, "x"), (2, nested, None, "y"), (3, "no section", 2026, "z"), (4, None, None, None), (5, "==Format==\nplain {{abbr/bo1}}\n", 2026, "z")], "page_id int, page string, year int, name string")
+    got = {}
+    for r in text.stage_formats(pages).orderBy("page_id", "name").collect():
+        got.setdefault(r.page_id, []).append((r.name, r.stage_type, r.default_format, r.formats_seen, str(r.start_date), str(r.end_date)))
+    assert got == {
+        1: [("Group Stage", "group", "bo2", "bo2", "2026-08-13", "2026-08-16"), ("Playoffs", "playoff", "bo3", "bo5,bo3", "2026-08-20", "2026-08-23")],
+        2: [
+            ("Grand Final", "playoff", "bo5", "bo5", "2025-05-30", "2025-06-02"), ("Group Stage", "group", "bo2", "bo2", "2025-05-30", "2025-06-02"),
+            ("Group Stage / Phase One", "group", "bo3", "bo1,bo3", "2025-05-30", "2025-06-02"), ("Group Stage / Phase Two", "group", "bo3", "bo3,bo5,bo3", "2025-05-30", "2025-06-02"),
+        ],
+    }
+    assert text.stage_formats(pages.limit(0)).count() == 0
 
 
 def test_model_round_trip(spark, tmp_path):
