@@ -43,7 +43,7 @@ def both(spark, con, query, sql: str, sf_dir: str) -> tuple[list, list, list, li
 
 if __name__ == "__main__":
     from tideglass.plans import catalog
-    from tideglass.plans.oracle import ORACLE
+    from tideglass.plans.catalog import ORACLE
     from tideglass.session import build_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
@@ -58,7 +58,7 @@ if __name__ == "__main__":
                 ok = a == b and got == want
                 print(name, "ok" if ok else "DIFFERS", len(got), len(want), f"{time.time() - start:.1f}s", flush=True)
                 if not ok:
-                    print("  ", a, b, [x for x in got if x not in want][:3], [x for x in want if x not in got][:3] if len(want) < 60000 else want[:3])
+                    print("  ", a, b, sorted(set(got) - set(want), key=repr)[:3], sorted(set(want) - set(got), key=repr)[:3])
             else:
                 print(name, "rows only", len(catalog.QUERIES[name](session, folder).collect()), f"{time.time() - start:.1f}s", flush=True)
         except Exception as e:

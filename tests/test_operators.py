@@ -73,7 +73,7 @@ def test_eligibility_reasons(spark):
     left["players"][3]["leaverStatus"] = "ABANDONED"
     good, reasons = snapshots.eligible(parsed(spark, schemas.DETAIL_B, detail_b(), short, few, left, teamless, detail_b(parsedDateTime=None), detail_b(didRadiantWin=None)))
     assert good.count() == 1
-    assert {r.skip_reason for r in reasons.collect()} == {None, "shorter than 12 minutes", "incomplete roster", "somebody abandoned", "a side has no team", "not parsed", "no outcome"}
+    assert {r.skip_reason for r in reasons.collect()} == {None, "shorter than 12 minutes", "incomplete roster", "somebody abandoned", "a side has no team", "not parsed", "no outcome to label with"}
 
 
 def test_details_of_both_sources(spark):

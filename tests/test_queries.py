@@ -4,7 +4,7 @@ import pytest
 from compare import both, duck
 
 from tideglass.plans import catalog
-from tideglass.plans.oracle import ORACLE
+from tideglass.plans.catalog import ORACLE
 
 FOLDER = "/root/testdata/sf0.001"
 

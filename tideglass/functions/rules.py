@@ -274,13 +274,17 @@ def timeline_kind(type_: Column, key: Column) -> Column:
     return F.when(type_ == "building_kill", building(key)["kind"]).otherwise(lookup(type_, CHAT_KINDS))
 
 
+# The reasons as they are reported.
+TOO_SHORT, INCOMPLETE, ABANDONED, NO_TEAM = "shorter than 12 minutes", "incomplete roster", "somebody abandoned", "a side has no team"
+
+
 def ineligible_reason(duration: Column, players: Column, radiant_team: Column, dire_team: Column) -> Column:
     """Why a map is no training data; the first reason wins, null means it is."""
     return (
-        F.when(F.coalesce(duration, F.lit(0)) < 720, "shorter than 12 minutes")
-        .when(F.coalesce(F.size(players), F.lit(0)) < 10, "incomplete roster")
-        .when(F.exists(players, lambda p: leaver_value(p["leaverStatus"]) >= 2), "somebody abandoned")
-        .when((F.coalesce(radiant_team, F.lit(0)) == 0) | (F.coalesce(dire_team, F.lit(0)) == 0), "a side has no team")
+        F.when(F.coalesce(duration, F.lit(0)) < 720, TOO_SHORT)
+        .when(F.coalesce(F.size(players), F.lit(0)) < 10, INCOMPLETE)
+        .when(F.exists(players, lambda p: leaver_value(p["leaverStatus"]) >= 2), ABANDONED)
+        .when((F.coalesce(radiant_team, F.lit(0)) == 0) | (F.coalesce(dire_team, F.lit(0)) == 0), NO_TEAM)
     )
 
 

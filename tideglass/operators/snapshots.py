@@ -182,8 +182,8 @@ def serving_view(df: DataFrame) -> DataFrame:
 def eligible(details: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to use, count of rows by reason) of maps of the training source."""
     reason = (
-        F.when(F.col("id").isNull(), "no id").when((F.coalesce("parsedDateTime", F.lit(0)) == 0) | (F.coalesce(F.size("radiantNetworthLeads"), F.lit(0)) <= 0), "not parsed")
-        .when(F.col("didRadiantWin").isNull(), "no outcome").otherwise(rules.ineligible_reason(F.col("durationSeconds"), F.col("players"), F.col("radiantTeamId"), F.col("direTeamId")))
+        F.when(F.col("id").isNull(), "no match_id").when((F.coalesce("parsedDateTime", F.lit(0)) == 0) | (F.coalesce(F.size("radiantNetworthLeads"), F.lit(0)) <= 0), "not parsed")
+        .when(F.col("didRadiantWin").isNull(), "no outcome to label with").otherwise(rules.ineligible_reason(F.col("durationSeconds"), F.col("players"), F.col("radiantTeamId"), F.col("direTeamId")))
     )
     marked = details.withColumn("skip_reason", reason)
     return marked.where(F.col("skip_reason").isNull()).drop("skip_reason"), marked.groupBy("skip_reason").count()

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import history, matching, metrics, models, ratings, snapshots, stages, upserts
+from ..operators import history, matching, metrics, models, prematch, ratings, snapshots, stages, upserts
+from . import oracle, payload_oracle, payload_queries
 from . import readmodels as rm
 from . import views as v
 
@@ -94,10 +95,9 @@ def w03_draft_advantage(spark, sf_dir):
 
 
 def w13_ratings(spark, sf_dir):
-    """Rating fold over maps whose sides have known accounts (W13-W17, H11): each component in its own task."""
-    p = v.players(spark, sf_dir).groupBy("match_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("is_radiant") == r, F.col("account_id")))).alias(n) for r, n in ((True, "radiant"), (False, "dire"))])
-    p = p.withColumn("dire", F.array_except("dire", "radiant")).where((F.size("radiant") >= 1) & (F.size("dire") >= 1))
-    return ratings.ratings_before(v.matches(spark, sf_dir).select("match_id", "start_time", "radiant_win").join(p, "match_id"))
+    """Rating fold over decided maps with five known accounts a side (W13-W17, H11): each component in its own task."""
+    maps, _ = prematch.swept_maps(v.matches(spark, sf_dir), payload_queries.players(spark, sf_dir))
+    return ratings.ratings_before(maps)
 
 
 def w20_as_of(spark, sf_dir):
@@ -302,7 +302,7 @@ def a17_busiest(spark, sf_dir):
     return m.groupBy("league_id").agg(F.count(F.lit(1)).alias("maps")).withColumn("place", rank)
 
 
-QUERIES = {
+_OWN = {
     f.__name__: f
     for f in (
         q01_scored_metrics, m06_reliability, q06_calibration_error, q03_versions, q04_serving_progress, q05_segment_counts, w01_game_numbers, a09_series_scores, w18_series_wins_before,
@@ -311,3 +311,8 @@ QUERIES = {
         l01_time_split, f28_weights, m13_drift, m10_bootstrap, t04_minutes, f02_spread, t21_masks, f15_priors, x01_names, x08_descriptions, x02_name_scores, x17_bullets, a21_table_counts, d18_conflicts, a17_busiest,
     )
 }
+
+QUERIES = _OWN | payload_queries.QUERIES
+
+#: The queries as DuckDB SQL, where SQL can express them.
+ORACLE = oracle.ORACLE | payload_oracle.PAYLOAD_ORACLE
