@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,12 +169,21 @@ def test_percentile_and_bootstrap(spark):
     v = F.array(*[F.lit(float(x)) for x in (5, 1, 4, 2, 3)])
     assert one(spark.range(1).select(metrics.percentile(v, 0.1).alias("a"), metrics.percentile(v, 0.9).alias("b"), metrics.percentile(v, 1.0).alias("c")))[:] == (1.0, 5.0, 5.0)
     rows = [(m, datetime(2024, 1, 1) + timedelta(days=m), k, m % 3 > 0, 0.6, 0.5, "constant") for m in range(30) for k in range(4)]
-    d = one(metrics.paired_differences(spark.createDataFrame(rows, "match_id long, start_time timestamp, minute int, radiant_win boolean, p double, baseline double, baseline_name string")))
+    scored = spark.createDataFrame(rows, "match_id long, start_time timestamp, minute int, radiant_win boolean, p double, baseline double, baseline_name string")
+    d = one(metrics.paired_differences_seeded(scored))
     loss = lambda y, p: -math.log(p if y else 1 - p)
     gaps = [4 * (loss(m % 3 > 0, 0.6) - loss(m % 3 > 0, 0.5)) for m in range(30)]
     rng = random.Random(f"{metrics.SEED}:constant:0-4")
     means = sorted(sum(rng.choices(gaps, k=30)) / 120 for _ in range(500))
     assert abs(d.low - means[50]) < 1e-12 and abs(d.high - means[450]) < 1e-12 and abs(d.difference - sum(gaps) / 120) < 1e-12
+    # the distributed one: the same sums by hand, and an interval like the seeded one's
+    p = one(metrics.paired_differences(scored.repartition(3)))
+    w = metrics.poisson_weights(np.arange(30), 500, metrics.SEED)
+    means = sorted(sum(a * g for a, g in zip(w[:, r], gaps)) / (4 * w[:, r].sum()) for r in range(500))
+    assert abs(p.low - means[50]) < 1e-12 and abs(p.high - means[450]) < 1e-12 and p.difference == pytest.approx(d.difference) and p.matches == 30
+    assert abs(p.low - d.low) < 0.3 * d.margin and abs(p.high - d.high) < 0.3 * d.margin
+    big = metrics.poisson_weights(np.arange(-2000, 2000), 500, 1)
+    assert abs(big.mean() - 1) < 0.005 and abs(big.var() - 1) < 0.01
 
 
 def test_text(spark):

@@ -73,21 +73,23 @@ def pair_history(matches: DataFrame) -> DataFrame:
 def hero_winrates(picks: DataFrame) -> DataFrame:
     """picks (match_id, start_time, hero_id, is_radiant, radiant_win) with winrate before the map.
 
-    A hero is in millions of maps, so its running sums are built in two steps: sums within
+    Picks of maps without a start time have no place in the order and are left out. A hero is in
+    millions of maps, so its running sums are built in two steps: sums within
     (hero, day), running sums over the days, and a window within one day only.
     """
     won = (F.col("is_radiant") == F.col("radiant_win")).cast("long")
-    p = picks.where("hero_id IS NOT NULL AND radiant_win IS NOT NULL").withColumns({"won": won, "day": F.to_date("start_time")})
+    p = picks.where("hero_id IS NOT NULL AND radiant_win IS NOT NULL AND start_time IS NOT NULL").withColumns({"won": won, "day": F.to_date("start_time")})
+    # all picks of one map are before or after another map's together, and stay in its row
+    rest = [c for c in picks.columns if c not in ("hero_id", "match_id", "start_time")]
+    per_map = p.groupBy("hero_id", "day", "start_time", "match_id").agg(F.sum("won").alias("mw"), F.count(F.lit(1)).alias("mn"), F.collect_list(F.struct(*rest)).alias("rest"))
     days = p.groupBy("hero_id", "day").agg(F.sum("won").alias("w"), F.count(F.lit(1)).alias("n"))
     over = Window.partitionBy("hero_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("hero_id", "day", F.coalesce(F.sum("w").over(over), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n0"))
-    # all picks of one map are before or after another map's together: peers share (start_time, match_id)
-    per_map = p.groupBy("hero_id", "day", "start_time", "match_id").agg(F.sum("won").alias("mw"), F.count(F.lit(1)).alias("mn"))
     same_day = Window.partitionBy("hero_id", "day").orderBy("start_time", "match_id").rowsBetween(Window.unboundedPreceding, -1)
     per_map = per_map.withColumns({"w1": F.coalesce(F.sum("mw").over(same_day), F.lit(0)), "n1": F.coalesce(F.sum("mn").over(same_day), F.lit(0))})
     rate = (F.col("w0") + F.col("w1") + HERO_PRIOR / 2) / (F.col("n0") + F.col("n1") + HERO_PRIOR)
-    rates = per_map.join(days, ["hero_id", "day"]).select("hero_id", "match_id", rate.alias("winrate"))
-    return p.drop("won", "day").join(rates, ["hero_id", "match_id"])
+    rated = per_map.join(days, ["hero_id", "day"]).select("hero_id", "match_id", "start_time", rate.alias("winrate"), F.inline("rest"))
+    return rated.select(*picks.columns, "winrate")
 
 
 def draft_advantage(picks: DataFrame) -> DataFrame:

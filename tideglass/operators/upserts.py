@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in ``order``; ties fall by the whole row."""
-    rest = [F.col(c) for c in df.columns if c not in keys and not df.schema[c].dataType.typeName() in ("map", "variant")]
+def _as_order(df: DataFrame, name: str) -> Column:
+    """A column that can be sorted by; maps are by their sorted entries."""
+    kind = df.schema[name].dataType.typeName()
+    return F.to_json(F.array_sort(F.map_entries(name))) if kind == "map" else F.to_json(name) if kind == "variant" else F.col(name)
+
+
+def latest_per_key(df: DataFrame, keys: list[str], *order: Column, settled: bool = False) -> DataFrame:
+    """The first row of each key in ``order``; ties fall by the whole row.
+
+    ``settled``: ``order`` leaves no ties, so that the rest of the row need not be sorted by.
+    """
+    rest = [] if settled else [_as_order(df, c) for c in df.columns if c not in keys]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *rest))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 

@@ -32,7 +32,7 @@ def _details_a(spark, sf_dir):
     return normalize.parse(payloads.detail_a(spark, sf_dir), schemas.DETAIL_A)
 
 
-def p06_matchplayers(spark, sf_dir):
+def p06_match_players(spark, sf_dir):
     """Players of both detail payloads."""
     return _both_sources(spark, sf_dir)["match_players"].select("match_id", "player_slot", "account_id", "hero_id", "is_radiant", "lane_role", "kills", "leaver_status")
 

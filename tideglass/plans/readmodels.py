@@ -23,7 +23,7 @@ def scored_predictions(predictions: DataFrame, matches: DataFrame, leagues: Data
         p = p.where(F.col("segment") == segment)
     known = matches.where(F.col("radiant_win").isNotNull()).select("match_id", "radiant_win", "start_time")
     keys = ["match_id", "minute", "model_version"] + (["segment"] if per_segment else [])
-    return latest_per_key(p.join(known, "match_id"), keys, F.col("predicted_at"), *[F.col(c) for c in tie])
+    return latest_per_key(p.join(known, "match_id"), keys, F.col("predicted_at"), *[F.col(c) for c in tie], settled=bool(tie))
 
 
 def versions(scored: DataFrame) -> DataFrame:
@@ -60,11 +60,13 @@ def recent_matches(predictions: DataFrame, matches: DataFrame, leagues: DataFram
     league = F.coalesce(F.col("league_id"), F.col("p_league"))
     p = predictions.select("match_id", "minute", "p_radiant", "predicted_at", "model_version", "valve_tier", F.col("league_id").alias("p_league"))
     m = matches.where("radiant_win IS NOT NULL").select("match_id", "league_id", "start_time", "radiant_win")
-    pro = p.where(rules.is_pro(F.col("valve_tier"))).join(m, "match_id")
+    pro = p.where(rules.is_pro(F.col("valve_tier")))
     if tiers:
+        pro = pro.join(m, "match_id")
         t = leagues.select(F.col("league_id").alias("l_id"), "tier")
         pro = pro.join(t, league == F.col("l_id"), "left").where(rules.display_tier(F.col("valve_tier"), F.col("tier")).isin(*tiers))
-    newest = pro.groupBy("match_id").agg(F.first("start_time").alias("start_time"), F.first("radiant_win").alias("radiant_win"), F.first("league_id").alias("m_league")).orderBy(F.col("start_time").desc_nulls_last(), F.col("match_id").desc()).limit(limit)
+    # maps are few against predictions: they are looked up by id, and none is grouped to find the newest
+    newest = m.join(pro.select("match_id"), "match_id", "left_semi").withColumnRenamed("league_id", "m_league").orderBy(F.col("start_time").desc_nulls_last(), F.col("match_id").desc()).limit(limit)
     of = p.join(F.broadcast(newest.select("match_id")), "match_id")  # at most ``limit`` ids
     per_minute = of.groupBy("match_id", "minute").agg(F.max("p_radiant").alias("p"), F.max("predicted_at").alias("at"), F.max("model_version").alias("version"))
     tenth = F.min_by(F.struct("minute", "p", "version"), F.when(F.col("minute").between(10, 14), F.col("minute")))
