@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideglass import schemas
 from tideglass.functions import rules, text
-from tideglass.operators import metrics, models, normalize, ratings, snapshots, upserts
+from tideglass.operators import matching, metrics, models, normalize, outcomes, ratings, snapshots, upserts
 from tideglass.plans import readmodels
 
 
@@ -254,3 +254,49 @@ def test_model_round_trip(spark, tmp_path):
     assert loss < 0.69
     platt = models.Platt.fit(hold)
     assert math.isfinite(platt.a) and models.calibration_rows(df)[1] == "none"
+
+
+def test_training_run_writes_a_judged_card(spark, tmp_path):
+    rng, rows = random.Random(6), []
+    for m in range(60):
+        edge = rng.gauss(0, 1)
+        won = rng.random() < 1 / (1 + math.exp(-3 * edge))
+        rows += [(m, datetime(2024, 1, 1) + timedelta(days=m), k, edge * 800 * (k + 1), won, "tier1", "tier1", 0.9) for k in (1, 6, 12)]
+    df = spark.createDataFrame(rows, "match_id long, start_time timestamp, minute int, gold_adv double, radiant_win boolean, segment string, tier string, prematch_prior double")
+    card = models.training_run(df, f"file://{tmp_path}", "lgbm-20240101-000000", ("minute", "gold_adv", "prematch_prior"), rounds=3, minInstancesPerNode=3)
+    assert card.scores["holdout_matches"] == 12 and card.scores["train_matches"] == 42 and card.scores["log_loss"] < 0.69 and card.calibration == {"a": 1.0, "b": 0.0}
+    assert {"log_loss 0-4", "log_loss 5-9", "log_loss 10-14"} <= set(card.scores)
+    (stored,) = models.cards(spark, f"file://{tmp_path}").collect()
+    assert stored.version == card.version and stored.passes_gate == card.passes_gate and stored.notes == "calibrated on none"
+    with pytest.raises(ValueError, match="no snapshots"):
+        models.training_run(df.limit(0), f"file://{tmp_path}", "x")
+
+
+def test_outcomes_fill_gaps_only(spark):
+    raw = spark.createDataFrame([(7, "stratz_match", json.dumps(detail_b())), (8, "opendota_match", json.dumps({"match_id": 8, "radiant_win": False, "duration": 900, "start_time": 1700000000})), (9, "opendota_match", "{}")], "match_id long, source string, payload string")
+    matches = spark.createDataFrame([(7, None, None, None), (8, True, None, 5)], "match_id long, radiant_win boolean, start_time timestamp, duration int")
+    wanted = spark.createDataFrame([(7,), (7,), (8,), (9,)], "match_id long")
+    resolved, left = outcomes.resolve(matches, wanted, raw)
+    got = {r.match_id: (r.radiant_win, r.duration) for r in resolved.collect() if r.match_id is not None}
+    assert got == {7: (True, 780), 8: (True, 5)} and [r.match_id for r in left.collect()] == [9]
+    assert [r.match_id for r in outcomes.to_fetch(wanted, raw, outcomes.outcome_source(False), 5).collect()] == [7]
+    score = spark.createDataFrame([(True, (1, 2), (3, 4)), (False, (1, 2), (3, 4)), (False, (1, 2), None), (True, None, None)], "l boolean, s struct<radiant:int,dire:int>, r struct<radiant:int,dire:int>")
+    assert [tuple(r[0] or ()) for r in score.select(outcomes.map_score(F.col("l"), F.col("s"), F.col("r"))).collect()] == [(1, 2), (3, 4), (1, 2), ()]
+    players = spark.createDataFrame([(1, True, 3), (1, True, None), (1, False, 2)], "match_id long, is_radiant boolean, kills int")
+    assert tuple(one(outcomes.roster_kills(players)).roster) == (3, 2)
+
+
+def test_wiki_sync_applies_what_is_certain(spark):
+    leagues = spark.createDataFrame([(1, "DreamLeague Season 29", None, None), (2, "Fissure Playground 2", None, None), (3, "Fissure Playground 2", None, None), (4, "Known", "Known/1", None)], "league_id long, name string, liquipedia_slug string, start_date date")
+    cats = ["Category:Tier 1 Tournaments", "Category:Tournaments"]
+    search = spark.createDataFrame([(1, 0, "DreamLeague/29", cats, None, None), (2, 0, "Fissure Playground/2", cats, None, None), (3, 0, "Fissure Playground/2", cats, None, None)], "league_id long, position int, title string, categories array<string>, display_name string, description string")
+    evidence = spark.createDataFrame([], "league_id long, first_match date, last_match date, team_count long, teams array<string>, champion string")
+    pages = spark.createDataFrame([("Known/1", PAGE)], "page_title string, wikitext string")
+    mappings = spark.createDataFrame([(1, "old", "tier2", None, 0.5, "auto", None, None, None)], "league_id long, slug string, tier string, is_lan boolean, score double, decided_by string, decided_at timestamp, superseded_at timestamp, note string")
+    out = matching.sync_mappings(leagues, search, pages, evidence, mappings, F.lit("2024-01-01").cast("timestamp"), budget=2)
+    assert [r.league_id for r in out["applied"].collect()] == [1] and sorted(r.league_id for r in out["conflicts"].collect()) == [2, 3]
+    assert sorted((r.slug, r.superseded_at is None) for r in out["mappings"].collect()) == [("DreamLeague/29", True), ("old", False)]
+    matches = spark.createDataFrame([(4, datetime(2026, 8, 20)), (4, datetime(2026, 8, 13))], "league_id long, start_time timestamp")
+    stored = spark.createDataFrame([(9, 4, "Playoffs", "playoff", "bo1", None, "Known/1", None, None), (8, 4, "Gone", "group", "bo1", None, "Known/1", None, None)], schemas.TABLES["tournament_stages"])
+    got = {r.name: (r.default_format, str(r.starts_at)[:10]) for r in matching.refresh_stages(leagues, matches, pages, stored).collect()}
+    assert got == {"Gone": ("bo1", "None"), "Group Stage": ("bo2", "2026-08-13"), "Playoffs": ("bo3", "2026-08-20")}

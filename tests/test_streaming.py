@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass import schemas
-from tideglass.sources import files, http
+from tideglass.sources import cursors, files, http
 from tideglass.streaming import live
 
 
@@ -19,16 +19,21 @@ def game(match_id, started=True):
 
 def test_live_tick(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(g) for g in (game(1), game(2, started=False))))
+    crowded = game(4)
+    crowded["scoreboard"]["radiant"]["players"] *= 2
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(g) for g in (game(1), game(2, started=False), {"league_id": 3}, crowded)))
+    rated = spark.createDataFrame([(10, 1, datetime(2024, 1, 1), 30.0, 2.0, 25)], "account_id long, as_of_match_id long, as_of_time timestamp, mu double, sigma double, games long")
     context = spark.createDataFrame([(3, "tier1", "premium", True, "bo3")], "league_id long, tier string, valve_tier string, is_lan boolean, format string")
     history = spark.createDataFrame([(1, 30), (2, 12)], "team_id long, maps long")
-    run = live.run_live(files.live_stream(spark, str(tmp_path / "in")), lambda: context, lambda: history, str(tmp_path / "out"), str(tmp_path / "ck"), every=None)
+    run = live.run_live(files.live_stream(spark, str(tmp_path / "in")), lambda: context, lambda: history, str(tmp_path / "out"), str(tmp_path / "ck"), every=None, player_ratings=lambda: rated)
     run.awaitTermination(120)
     assert run.exception() is None
-    assert spark.read.parquet(f"{tmp_path}/out/raw").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/out/raw").count() == 4
+    assert {r.reason for r in spark.read.parquet(f"{tmp_path}/out/dead_letters").collect()} == {"no match_id", "more than five players a side"}
     (row,) = spark.read.parquet(f"{tmp_path}/out/predictions").collect()
     assert row.match_id == 1 and row.minute == 10 and row.features["gold_adv"] == 50.0 and row.features["radiant_towers"] == 11 and 0.01 <= row.p_radiant <= 0.99 and row.features["series_len"] == 3
-    (entry,) = live.live_feed(spark.read.parquet(f"{tmp_path}/out/feed")).collect()
+    assert row.features["established_diff"] == 1.0 and row.features["prematch_prior"] > 0.5 and row.features["form_diff"] == 0.0
+    (entry,) = live.read_feed(spark, str(tmp_path / "out")).collect()
     assert entry.team_history == 12 and entry.tier == "tier1"
 
 
@@ -51,6 +56,59 @@ def test_realtime_and_publish(spark):
     assert row.minute == 2 and row.gold_adv == 77 and row.radiant_towers == 1 and row.kill_diff == 3
 
 
+def test_ids_that_were_not_asked_for_show(monkeypatch):
+    def answer(url, *rest):
+        code = {"a": None, "b": 404, "c": 500, "d": 429, "e": None}[url[-1]]
+        if code:
+            raise RuntimeError(f"HTTPError at x: HTTP Error {code}")
+        return "{}"
+
+    monkeypatch.setattr(http, "fetch", answer)
+    rows = list(http._Ids({"url": "http://x/{id}", "ids": "a,b,c,d,e", "interval": "0"}).read(None))
+    assert [(r[0], r[2]) for r in rows] == [("a", "ok"), ("b", "missing"), ("c", "failed"), ("d", "not_asked"), ("e", "not_asked")]
+
+
+def test_pages_backwards_again_and_forwards(monkeypatch):
+    """A batch that is read again gives its rows, whatever has been added since."""
+    known, asked = list(range(1, 26)), []
+
+    def answer(url):
+        asked.append(url)
+        before = int(url.split("before=")[1]) if "before=" in url else 10**9
+        return json.dumps([{"match_id": i} for i in sorted((x for x in known if x < before), reverse=True)[:10]])
+
+    monkeypatch.setattr(http, "fetch", answer)
+    pages = http._Pages({"url": "http://x/m?k=1", "cursor": "before", "interval": "0"})
+    start, seen, offsets = pages.initialOffset(), [], []
+    for _ in range(4):
+        rows, end = pages.read(start)
+        seen.append([int(r[0]) for r in rows])
+        offsets.append((start, end))
+        start = end
+    assert seen == [list(range(25, 15, -1)), list(range(15, 5, -1)), list(range(5, 0, -1)), []]
+    known += [26, 27, 28]
+    assert [[int(r[0]) for r in pages.readBetweenOffsets(*o)] for o in offsets] == seen
+    assert "http://x/m?k=1&before=16" in asked
+    forward = http._Forward({"url": "http://x/m", "cursor": "before", "interval": "0", "known": "14"})
+    assert [int(r[0]) for r in forward.read(None)] == list(range(28, 14, -1))
+
+
+def test_graphql_errors_are_errors():
+    sent = []
+    ok = lambda url, body, headers: sent.append(json.loads(body)) or json.dumps({"data": {"match": {"id": 1}}})
+    assert json.loads(http.graphql("http://x", "query", {"id": 1}, fetcher=ok)) == {"match": {"id": 1}} and sent == [{"query": "query", "variables": {"id": 1}}]
+    with pytest.raises(RuntimeError, match="GraphQL"):
+        http.graphql("http://x", "q", {}, fetcher=lambda *a: json.dumps({"errors": [{"message": "no"}]}))
+
+
+def test_cursors(spark, tmp_path):
+    path = f"file://{tmp_path}/cursors"
+    assert cursors.read_cursor(spark, path, "a") is None
+    for source, cursor in (("a", "1"), ("b", "5"), ("a", "2")):
+        cursors.write_cursor(spark, path, source, cursor)
+    assert cursors.read_cursor(spark, path, "a") == "2" and cursors.cursors(spark, path).count() == 2
+
+
 def test_fetch_retries_and_redacts():
     waits = []
 

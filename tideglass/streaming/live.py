@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import rules
 from ..operators.normalize import live_standing
+from ..operators.prematch import LIVE_BLOCK, live_block, with_block
 from ..operators.snapshots import FEATURES, features, snapshots_live
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -20,16 +21,19 @@ def baseline_scorer(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"p": rules.bounded(rules.baseline_probability(F.col("gold_adv_norm"), F.col("minute"))), "model_version": F.lit("baseline")})
 
 
-def score_games(games: DataFrame, context: DataFrame, history: DataFrame, scorer: Scorer = baseline_scorer) -> DataFrame:
+def score_games(games: DataFrame, context: DataFrame, history: DataFrame, scorer: Scorer = baseline_scorer, player_ratings: DataFrame | None = None) -> DataFrame:
     """Feed entries of started games: state, features and prediction; drafting ones are left out.
 
-    context: league_id, tier, valve_tier, is_lan, format. history: team_id, maps.
+    context: league_id, tier, valve_tier, is_lan, format. history: team_id, maps. With
+    player_ratings the skill block of the sides' accounts is joined, else it is at its defaults.
     """
     s = snapshots_live(games).join(context.select("league_id", "tier", "valve_tier", "is_lan", "format"), "league_id", "left")
     standing = live_standing(F.col("format"))
     s = s.withColumns({c: standing[c] for c in ("game_in_series", "is_conditional_game")})
     for side in ("radiant", "dire"):
         s = s.join(history.select(F.col("team_id").alias(f"{side}_team_id"), F.col("maps").alias(f"{side}_maps")), f"{side}_team_id", "left")
+    if player_ratings is not None:
+        s = with_live_block(games, s, player_ratings)
     keep = ["match_id", "league_id", "tier", "valve_tier", "stream_delay_s", "radiant_maps", "dire_maps"]
     scored = scorer(features(s, *keep))
     return scored.withColumns({"team_history": rules.notability(F.col("radiant_maps"), F.col("dire_maps")), "tier": rules.display_tier(F.col("valve_tier"), F.col("tier"))})
@@ -41,18 +45,41 @@ def prediction_rows(scored: DataFrame) -> DataFrame:
     return scored.select("match_id", F.col("minute").cast("int").alias("minute"), F.current_timestamp().alias("predicted_at"), "model_version", F.col("p").alias("p_radiant"), F.create_map(*pairs).alias("features"), "league_id", "valve_tier")
 
 
-def run_live(games: DataFrame, context: Callable[[], DataFrame], history: Callable[[], DataFrame], out: str, checkpoint: str, scorer: Scorer = baseline_scorer, every: str | None = "30 seconds") -> StreamingQuery:
+def split_games(games: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(games that can be scored, the others with a reason): one bad game does not stop a tick."""
+    board, both = F.col("scoreboard"), F.col("scoreboard.radiant").isNotNull() & F.col("scoreboard.dire").isNotNull()
+    reason = (
+        F.when(F.col("match_id").isNull(), "no match_id").when(F.coalesce(board["duration"], F.lit(0.0)) > 86400, "impossible duration")
+        .when(both & ((F.size(board["radiant"]["players"]) > 5) | (F.size(board["dire"]["players"]) > 5)), "more than five players a side")
+    )
+    marked = games.withColumn("reason", reason)
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+def with_live_block(games: DataFrame, scored_input: DataFrame, player_ratings: DataFrame) -> DataFrame:
+    """Live states with the skill block of their accounts."""
+    return with_block(scored_input, live_block(snapshots_live(games).select("match_id", "radiant_accounts", "dire_accounts"), player_ratings), LIVE_BLOCK)
+
+
+def run_live(
+    games: DataFrame, context: Callable[[], DataFrame], history: Callable[[], DataFrame], out: str, checkpoint: str, scorer: Scorer = baseline_scorer, every: str | None = "30 seconds",
+    player_ratings: Callable[[], DataFrame] | None = None,
+) -> StreamingQuery:
     """Every tick: raw boards first, then predictions and the feed, each batch in a folder of its own.
 
-    A batch that comes again overwrites its folders, so a restart repeats nothing (R01, R02, R05).
+    A batch that comes again overwrites its own folders and no other's, so a restart repeats
+    nothing and readers of the feed never meet a half one (R01, R02, R05). Games that cannot be
+    scored go to ``dead_letters``.
     """
 
     def tick(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         batch.select("match_id", F.current_timestamp().alias("captured_at"), F.to_json(F.struct("*")).alias("payload")).write.mode("overwrite").parquet(f"{out}/raw/batch={batch_id}")
-        scored = score_games(batch, context(), history(), scorer).persist()
+        good, bad = split_games(batch)
+        bad.select("match_id", "reason", F.to_json(F.struct("*")).alias("payload")).write.mode("overwrite").parquet(f"{out}/dead_letters/batch={batch_id}")
+        scored = score_games(good, context(), history(), scorer, player_ratings() if player_ratings else None).persist()
         prediction_rows(scored).write.mode("overwrite").parquet(f"{out}/predictions/batch={batch_id}")
-        scored.drop(*[f for f in FEATURES if f not in ("minute",)]).withColumn("captured_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/feed")
+        scored.drop(*[f for f in FEATURES if f not in ("minute",)]).withColumn("captured_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/feed/batch={batch_id}")
         scored.unpersist()
         batch.unpersist()
 
@@ -60,6 +87,13 @@ def run_live(games: DataFrame, context: Callable[[], DataFrame], history: Callab
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def read_feed(spark: SparkSession, out: str, ttl_seconds: int = 120) -> DataFrame:
+    """The entries of the newest tick that are not yet stale (K17, H49); earlier ticks' folders are pruned by batch."""
+    feed = spark.read.parquet(f"{out}/feed")
+    newest = feed.agg(F.max("batch").alias("newest"))  # one row
+    return live_feed(feed.join(F.broadcast(newest), F.col("batch") == F.col("newest")).drop("newest"), ttl_seconds)
+
+
 def live_feed(feed: DataFrame, ttl_seconds: int = 120) -> DataFrame:
     """Entries that are not yet stale."""
     return feed.where(F.col("captured_at") > F.current_timestamp() - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
@@ -78,12 +112,17 @@ def finished(predictions: DataFrame, gap: str = "10 minutes") -> DataFrame:
 def throttled(requests: DataFrame, key: str = "league_id", seconds: int = 900) -> DataFrame:
     """At most one request a key in ``seconds``: the first claims it, later ones fall.
 
-    requests: a stream with ``key`` (long) and requested_at; state lives in the state store and times out.
+    requests: a stream with ``key`` (long) and requested_at. A key's claim is dropped from the state
+    store when it has run out and no request came for ``seconds``, so state does not grow with keys
+    ever seen.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def claim(k, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         until = state.get[0] if state.exists else -1
         for f in frames:
             for at in sorted(int(t.timestamp() * 1000) for t in f["requested_at"]):
@@ -92,9 +131,10 @@ def throttled(requests: DataFrame, key: str = "league_id", seconds: int = 900) -
                     yield pd.DataFrame({"key": [k[0]], "claimed_ms": [at]})
         if until >= 0:
             state.update((until,))
+            state.setTimeoutDuration(seconds * 1000)
 
     keyed = requests.select(F.col(key).alias("key"), "requested_at")
-    return keyed.groupBy("key").applyInPandasWithState(claim, "key long, claimed_ms long", "until long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("key").applyInPandasWithState(claim, "key long, claimed_ms long", "until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def publish(scored: DataFrame) -> DataFrame:
