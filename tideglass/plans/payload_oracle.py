@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import _AGE, _DECAY, _L, _M, _P, _SER, _SIG, _T, _r4
+from .oracle import _AGE, _BUCKET, _DECAY, _L, _LL, _M, _P, _SER, _SIG, _T, _r4
 from .payloads import EVENTS, KEYS, LANES
 
 _K = """k AS (
@@ -184,4 +184,37 @@ PAYLOAD_ORACLE = {
     "m16_bias": f"""WITH {_M}, x AS (SELECT (sum(win::INT) + 1.0::DOUBLE) / (count(*) + 2) AS b FROM m WHERE win IS NOT NULL) SELECT league_id, count(*) AS n, 0.5::DOUBLE AS half, {_r4('any_value(b)')} AS bias FROM m, x WHERE win IS NOT NULL GROUP BY league_id""",
     "ratings_of_sides": f"""SELECT l_orderkey AS match_id, l_linenumber % 2 = 1 AS is_radiant, {_r4('avg(l_suppkey % 40 + 5.0::DOUBLE)')} AS mu, {_r4('sqrt(sum((l_partkey % 8 + 1.0::DOUBLE) * (l_partkey % 8 + 1.0::DOUBLE))) / count(*)')} AS sigma,
       min(l_suppkey % 45) AS min_games, count(*) FILTER (l_suppkey % 45 >= 20) AS established FROM lineitem GROUP BY ALL""",
+    "p13_heroes": """SELECT CAST(n_nationkey AS INT) AS hero_id, 'npc_' || lower(n_name) AS name, CASE WHEN n_nationkey % 3 > 0 THEN n_name ELSE 'npc_' || lower(n_name) END AS localized_name, 'agi' AS primary_attr
+      FROM nation WHERE n_nationkey <> 0 AND n_nationkey % 7 > 0""",
+    "p14_pro_players": """WITH f AS (SELECT s_suppkey % 60 AS a, min(s_suppkey) AS k FROM supplier WHERE s_suppkey % 60 <> 0 GROUP BY 1)
+      SELECT a AS account_id, CASE WHEN k % 4 > 0 THEN 'n' ELSE 'p' END || k AS name, CASE WHEN a % 2 = 0 THEN 'xx' END AS country, CAST(a % 3 AS INT) AS fantasy_role FROM f""",
+    "p15_leagues": """SELECT CAST(n_nationkey AS BIGINT) AS league_id, n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'professional' WHEN 1 THEN 'premium' WHEN 2 THEN 'excluded' WHEN 3 THEN 'amateur' END AS valve_tier FROM nation WHERE n_nationkey <> 0""",
+    "t26_realtime": f"""WITH b AS (SELECT s_suppkey AS k, unnest(range(18)) AS i FROM supplier), c AS (
+        SELECT k, count(*) FILTER (i % 2 = 0 AND (k + i) % 3 = 0) AS rt, count(*) FILTER (i % 2 = 1 AND (k + i) % 3 = 0) AS dt, count(*) FILTER (i % 2 = 0 AND (k + i) % 3 = 1) AS rb, count(*) FILTER (i % 2 = 1 AND (k + i) % 3 = 1) AS db
+        FROM b WHERE i < k % 18 AND (k + i) % 4 <> 0 GROUP BY k),
+      w AS (SELECT s_suppkey AS k, unnest([(s_suppkey * 7 + s * 262) % 9000 for s in range(5)]) AS w FROM supplier), sp AS (SELECT k, stddev_pop(w) AS sp FROM w GROUP BY k)
+      SELECT s_suppkey AS match_id, CAST(greatest(s_suppkey * 37 % 3000 - 90, 0) // 60 AS INT) AS minute,
+        CAST(CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey * 3 + (s_suppkey % 4 - 1) * 17) % 5000 - 2500 ELSE (s_suppkey * 62) % 40000 - (s_suppkey * 93) % 40000 END AS INT) AS gold_adv,
+        CAST(s_suppkey * 2 % 50 AS INT) AS radiant_score, CAST(s_suppkey * 3 % 50 AS INT) AS dire_score, CAST(s_suppkey * 62 % 40000 AS INT) AS radiant_net_worth, CAST(s_suppkey * 93 % 40000 AS INT) AS dire_net_worth,
+        CAST(coalesce(rt, 0) AS INT) AS radiant_towers, CAST(coalesce(dt, 0) AS INT) AS dire_towers, CAST(coalesce(rb, 0) AS INT) AS radiant_barracks, CAST(coalesce(db, 0) AS INT) AS dire_barracks, {_r4('sp')} AS radiant_spread
+      FROM supplier LEFT JOIN c ON c.k = s_suppkey JOIN sp ON sp.k = s_suppkey""",
+    "h26_outcomes": f"""WITH {_M}, x AS (SELECT *, win IS NULL AND series_id % 3 = 0 AS late FROM m)
+      SELECT match_id, CASE WHEN late THEN match_id % 2 = 0 ELSE win END AS radiant_win, CASE WHEN late THEN CAST(match_id * 7 % 500 + 700 AS INT) END AS duration, series_id FROM x""",
+    "h27_to_fetch": f"WITH {_M} SELECT DISTINCT l_orderkey AS match_id FROM lineitem WHERE l_orderkey NOT IN (SELECT match_id FROM m WHERE series_id % 3 = 0) ORDER BY match_id DESC LIMIT 100",
+    "f20_map_score": f"""WITH {_M}, {_K}, {_SLOTS}, ro AS (SELECT k, CAST(sum((k + s) % 15) FILTER (s < 5) AS INT) AS r, CAST(sum((k + s) % 15) FILTER (s >= 5) AS INT) AS d FROM sl WHERE k % 3 > 0 AND NOT (k % 19 = 0 AND s = 9) GROUP BY k)
+      SELECT k.k AS match_id, CASE WHEN k.k % 2 = 0 AND k.k % 4 > 0 THEN CAST(k.k % 60 AS INT) WHEN ro.k IS NOT NULL THEN ro.r WHEN k.k % 4 > 0 THEN CAST(k.k % 60 AS INT) END AS radiant,
+        CASE WHEN k.k % 2 = 0 AND k.k % 4 > 0 THEN CAST(k.k % 50 AS INT) WHEN ro.k IS NOT NULL THEN ro.d WHEN k.k % 4 > 0 THEN CAST(k.k % 50 AS INT) END AS dire FROM k LEFT JOIN ro ON ro.k = k.k""",
+    "q09_card_players": f"""WITH {_M}, {_K}, {_SLOTS}, p AS (SELECT k, s, (k + s * 11) % 127 AS hero, {_ACC} AS account FROM sl WHERE NOT (k % 19 = 0 AND s = 9))
+      SELECT k AS match_id, {_SLOT} AS player_slot, n_name AS hero_name, CASE WHEN account % 10 = 0 THEN 'c' || account // 10 END AS player_name FROM p LEFT JOIN nation ON n_nationkey = hero""",
+    "q10_card_draft": f"""WITH {_M}, {_K}, i AS (SELECT k, CAST(unnest(range(10)) AS INT) AS i FROM k), d AS (
+        SELECT k, i, i % 4 < 2 AS rad, CASE WHEN i % 2 = 0 THEN (k + i * 3) % 127 ELSE (k + i * 5) % 127 END AS hero FROM i WHERE k % 3 > 0 UNION ALL SELECT k, i, i % 2 = 0, (k + i * 3) % 127 FROM i WHERE k % 3 = 0 AND i < 8)
+      SELECT k AS match_id, i AS "order", rad AS is_radiant, n_name AS hero_name FROM d LEFT JOIN nation ON n_nationkey = hero""",
+    "x23_stage_formats": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 > 0 THEN 2020 + p_partkey % 5 END AS y FROM part),
+      q AS (SELECT *, ['bo1', 'bo2', 'bo3', 'bo5'] AS f, make_date(y, 5, k % 20 + 1) AS s, make_date(y, 6, k % 9 + 1) AS e FROM p)
+      SELECT k AS page_id, 'Group Stage' AS name, 'group' AS stage_type, f[k % 4 + 1] AS default_format, f[k % 4 + 1] || ',' || f[(k + 1) % 4 + 1] AS formats_seen, s AS start_date, e AS end_date FROM q
+      UNION ALL SELECT k, 'Playoffs', 'playoff', f[(k + 2) % 4 + 1], 'bo5,' || f[(k + 2) % 4 + 1], s, e FROM q
+      UNION ALL SELECT k, 'Playoffs / Lower Bracket', 'playoff', f[(k + 3) % 4 + 1], f[(k + 3) % 4 + 1], s, e FROM q""",
+    "m16_report": f"""WITH {_M}, {_P}, s AS (SELECT p.*, win FROM p JOIN m ON p.match_id = m.match_id WHERE win IS NOT NULL), b AS (
+        SELECT {_BUCKET} AS bucket, round(avg({_LL}), 3) AS ll, round(avg(pow(p - win::INT, 2)), 3) AS br, round(avg(((p >= 0.5) = win)::INT), 3) AS ac, count(*) AS n FROM s GROUP BY ALL)
+      SELECT printf('%-6s log loss %.4f  brier %.4f  accuracy %.3f  n %d', bucket, ll, br, ac, n) AS line FROM b""",
 }

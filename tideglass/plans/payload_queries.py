@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import rules
-from ..operators import featurize, history, models, normalize, prematch, ratings, snapshots, upserts
+from ..functions import rules, text
+from ..operators import featurize, history, metrics, models, normalize, outcomes, prematch, ratings, snapshots, upserts
 from ..streaming import live as streaming
 from . import payloads
 from . import readmodels as rm
@@ -273,11 +273,79 @@ def ratings_of_sides(spark, sf_dir):
     return ratings.team_skill(e).select("match_id", "is_radiant", r4(F.col("mu")).alias("mu"), r4(F.col("sigma")).alias("sigma"), "min_games", "established")
 
 
+def p13_heroes(spark, sf_dir):
+    """Heroes of one object keyed by id."""
+    return normalize.heroes(payloads.references(spark, sf_dir)["heroes"]).select("hero_id", "name", "localized_name", "primary_attr")
+
+
+def p14_pro_players(spark, sf_dir):
+    """Professional players, the first entry of an account."""
+    return normalize.pro_players(payloads.references(spark, sf_dir)["pro_players"])
+
+
+def p15_leagues(spark, sf_dir):
+    """Leagues with known tiers."""
+    return normalize.leagues(payloads.references(spark, sf_dir)["leagues"])
+
+
+def t26_realtime(spark, sf_dir):
+    """States of realtime samples."""
+    s = snapshots.snapshots_realtime(normalize.parse(payloads.realtime(spark, sf_dir), schemas.REALTIME))
+    return s.select("match_id", "minute", "gold_adv", *[f"{r}_{c}" for r in ("radiant", "dire") for c in ("score", "net_worth", "towers", "barracks")], r4(snapshots.spread(F.col("radiant_worths"))).alias("radiant_spread"))
+
+
+def h26_outcomes(spark, sf_dir):
+    """Undecided maps with late results filled in."""
+    m = v.matches(spark, sf_dir).withColumn("duration", F.lit(None).cast("int"))
+    resolved, _ = outcomes.resolve(m, m.where("radiant_win IS NULL"), payloads.results(spark, sf_dir))
+    return resolved.select("match_id", "radiant_win", "duration", "series_id")
+
+
+def h27_to_fetch(spark, sf_dir):
+    """Ids to ask for, newest first; the number of a job is the feature."""
+    return outcomes.to_fetch(v.predictions(spark, sf_dir), payloads.results(spark, sf_dir), outcomes.outcome_source(False), 100)
+
+
+def f20_map_score(spark, sf_dir):
+    """Kills of a map from the scoreboard while it runs, else from its rosters."""
+    k = F.col("match_id")
+    roster = outcomes.roster_kills(players(spark, sf_dir).where("match_id % 3 > 0"))
+    live = F.when(k % 4 > 0, F.struct((k % 60).cast("int").alias("radiant"), (k % 50).cast("int").alias("dire")))
+    m = v.matches(spark, sf_dir).select("match_id").join(roster, "match_id", "left").select("match_id", outcomes.map_score(k % 2 == 0, live, F.col("roster")).alias("s"))
+    return m.select("match_id", F.col("s.radiant").alias("radiant"), F.col("s.dire").alias("dire"))
+
+
+def q09_card_players(spark, sf_dir):
+    """Players of every map with hero and player names."""
+    heroes = v.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("hero_id"), F.col("n_name").alias("localized_name"), F.lower("n_name").alias("image_path"))
+    names = v.read(spark, sf_dir, "customer").select((F.col("c_custkey") * 10).alias("account_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"))
+    return rm.players_of(players(spark, sf_dir), heroes, names).select("match_id", "player_slot", "hero_name", "player_name")
+
+
+def q10_card_draft(spark, sf_dir):
+    """Drafts of every map with hero names (Q10)."""
+    heroes = v.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("hero_id"), F.col("n_name").alias("localized_name"))
+    return rm.draft_of(_both_sources(spark, sf_dir)["match_drafts"], heroes).select("match_id", "order", "is_radiant", "hero_name")
+
+
+def x23_stage_formats(spark, sf_dir):
+    """Stages that wiki pages name, with their formats and dates."""
+    return text.stage_formats(payloads.wiki_pages(spark, sf_dir)).drop("evidence")
+
+
+def m16_report(spark, sf_dir):
+    """Report lines by minute bucket."""
+    p = v.predictions(spark, sf_dir).withColumnRenamed("p_radiant", "p").join(v.matches(spark, sf_dir).where("radiant_win IS NOT NULL").select("match_id", "radiant_win"), "match_id")
+    scores = metrics.by_bucket(p).withColumns({c: F.round(c, 3) for c in ("log_loss", "brier", "accuracy")})
+    return metrics.report(scores)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p06_match_players, p07_match_drafts, p08_match_objectives, p09_match_rows, q11_timeline, p01_matches, p01_teams, p01_series, t12_snapshots_b, t13_snapshots_a, f01_featurize, f08_skips, f04_serving_view,
         w15_rosters, w11_prematch, w11_history_block, t24_live_states, p21_live_draft, p22_live_players, p16_live_teams, w21_live_block, r03_live_scores, q13_public_feed, k03_supplied, k09_absent, k12_children,
-        k13_supersede, l10_platt, f22_rules, s02_transient, m16_bias, ratings_of_sides,
+        k13_supersede, l10_platt, f22_rules, s02_transient, m16_bias, ratings_of_sides, p13_heroes, p14_pro_players, p15_leagues, t26_realtime, h26_outcomes, h27_to_fetch, f20_map_score, q09_card_players,
+        q10_card_draft, x23_stage_formats, m16_report,
     )
 }

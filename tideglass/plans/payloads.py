@@ -115,3 +115,44 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = F.when(k % 7 > 0, F.struct((_mod(k * 17, 3000) - 60).cast("double").alias("duration"), side(0).alias("radiant"), F.when(k % 10 > 0, side(1)).alias("dire")))
     payload = F.struct(k.alias("match_id"), F.col("n").alias("league_id"), _mod(k, 200).alias("stream_delay_s"), _mod(k, 2).alias("radiant_series_wins"), _mod(k, 3).alias("dire_series_wins"), team(0).alias("radiant_team"), team(1).alias("dire_team"), board.alias("scoreboard"))
     return c.select(F.to_json(payload).alias("payload"))
+
+
+def references(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """One payload each of heroes (an object by id), professional players and leagues (arrays)."""
+    n, k = v.read(spark, sf_dir, "nation"), F.col("n_nationkey").cast("int")
+    hero = F.struct(k.alias("id"), F.when(k % 7 > 0, F.concat(F.lit("npc_"), F.lower("n_name"))).otherwise("").alias("name"), F.when(k % 3 > 0, F.col("n_name")).otherwise("").alias("localized_name"), F.lit("agi").alias("primary_attr"))
+    league = F.struct(k.cast("long").alias("leagueid"), F.col("n_name").alias("name"), _one_of(("professional", "premium", "excluded", "amateur", "mystery"), _mod(k, 5)).alias("tier"))
+    a = F.col("s_suppkey") % 60  # accounts repeat: the first entry counts
+    pro = F.struct(F.col("s_suppkey").alias("place"), a.alias("account_id"), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("n"), F.col("s_suppkey").cast("string"))).otherwise("").alias("name"), F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("personaname"), F.when(a % 2 == 0, "xx").otherwise("").alias("loccountrycode"), _mod(a, 3).alias("fantasy_role"))
+    whole = lambda df, c: df.agg(F.to_json(F.array_sort(F.collect_list(c))).alias("payload"))  # noqa: E731  reference tables: nations and suppliers
+    return {
+        "heroes": n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(k.cast("string"), hero)))).alias("payload")),
+        "leagues": whole(n, league), "pro_players": whole(v.read(spark, sf_dir, "supplier"), pro),
+    }
+
+
+def realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload of a realtime sample for each supplier."""
+    k = F.col("s_suppkey")
+    team = lambda number: F.struct(F.lit(number).alias("team_number"), _mod(k * number, 50).alias("score"), _mod(k * number * 31, 40000).alias("net_worth"), _each(F.lit(5), lambda s: F.struct(_mod(k * 7 + s * 131 * number, 9000).alias("net_worth"))).alias("players"))
+    building = lambda i: F.struct((F.lit(2) + i % 2).alias("team"), _mod(k + i, 3).alias("type"), _mod(i, 3).alias("lane"), _mod(i, 4).alias("tier"), (_mod(k + i, 4) == 0).alias("destroyed"))
+    payload = F.struct(F.struct(k.alias("matchid"), (_mod(k * 37, 3000) - 90).alias("game_time")).alias("match"), F.array(team(2), team(3)).alias("teams"), _each(_mod(k, 18), building).alias("buildings"), F.struct(_each(_mod(k, 4), lambda i: _mod(k * 3 + i * 17, 5000) - 2500).alias("graph_gold")).alias("graph_data"))
+    return v.read(spark, sf_dir, "supplier").select(F.to_json(payload).alias("payload"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_id, source, payload of results that arrived late, for every map of every third customer's series."""
+    k = F.col("match_id")
+    payload = F.struct(k.alias("match_id"), (k % 2 == 0).alias("radiant_win"), (_mod(k * 7, 500) + 700).alias("duration"))
+    return v.matches(spark, sf_dir).select("match_id", F.when(F.col("series_id") % 3 == 0, "opendota_match").otherwise("steam").alias("source"), F.to_json(payload).alias("payload"))
+
+
+def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, page, year: a Format section for each part, with groups, two playoff parts and a prize."""
+    k = F.col("p_partkey")
+    fmt = lambda i: _one_of(("bo1", "bo2", "bo3", "bo5"), _mod(k + i, 4))
+    page = F.concat(
+        F.lit("intro {{abbr/bo1}}\n== Format ==\n*'''Group Stage''' (May "), (k % 20 + 1).cast("string"), F.lit(" - June "), (k % 9 + 1).cast("string"), F.lit(")\n** matches are {{Abbr/"), fmt(0), F.lit("}}, decider {{abbr/"), fmt(1), F.lit("}}\n"),
+        F.lit("*'''Playoffs'''\n** Grand Final is {{abbr/bo5}}, all other matches are {{abbr/"), fmt(2), F.lit("}}\n**'''Lower Bracket''' {{abbr/"), fmt(3), F.lit("}}\n*'''Prize pool''' {{abbr/bo1}}\n==Teams==\n"),
+    )
+    return v.read(spark, sf_dir, "part").select(k.alias("page_id"), page.alias("page"), F.when(k % 5 > 0, 2020 + k % 5).cast("int").alias("year"))
