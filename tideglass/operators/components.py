@@ -22,13 +22,13 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> Data
     and settles in O(log^2 n) rounds at most, so there is no cap on rounds. ``keep`` writes a
     table and reads it back, which cuts the lineage. An edge table without rows gives no rows.
     """
-    edges = keep(edges.select("u", "v").distinct())
-    pairs = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = edges.where("u <> v")
     while not _settled(pairs):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root"))
         pairs = keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("root").alias("v")).distinct())
-        least = keep(pairs.groupBy("u").agg(F.min("v").alias("root")))
+        least = pairs.groupBy("u").agg(F.min("v").alias("root"))
         tied = pairs.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("root").alias("v"))
         pairs = keep(tied.where("u <> v").distinct())
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import checkpointed
 
 # Resamples, seed and bounds of the bootstrap; sizes of the drift check.
 RESAMPLES, SEED, LOW, HIGH = 500, 20260901, 0.10, 0.90
@@ -94,7 +95,7 @@ def paired_differences(scored: DataFrame, resamples: int = RESAMPLES, seed: int
     one row for each (baseline, bucket, resample) and task is shuffled.
     Returns baseline_name, bucket, difference, low, high, margin, verdict, matches.
     """
-    sums = _match_sums(scored)
+    sums = checkpointed(_match_sums(scored))
     per_match = sums.groupBy("match_id").agg(F.collect_list(F.struct("baseline_name", "bucket", "gap", "n")).alias("parts"))  # at most buckets x baselines
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,9 +55,9 @@ def account_components(maps: DataFrame) -> DataFrame:
 
     Every account of a map is tied to the map's least account; the component is its least account.
     """
-    pairs = checkpointed(maps.select("match_id", F.explode(F.array_union("radiant", "dire")).alias("account")))
-    least = checkpointed(pairs.groupBy("match_id").agg(F.min("account").alias("node")))
-    labels = components(pairs.join(least, "match_id").select(F.col("account").alias("u"), F.col("node").alias("v")), checkpointed)
+    seats = maps.select("match_id", F.array_union("radiant", "dire").alias("accounts"))
+    least = checkpointed(seats.select("match_id", "accounts", F.array_min("accounts").alias("node")))
+    labels = components(least.select(F.explode("accounts").alias("u"), F.col("node").alias("v")), checkpointed)
     return least.join(labels, "node").select("match_id", F.col("label").alias("component"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import history, matching, metrics, models, prematch, ratings, snapshots, stages, upserts
+from ..session import checkpointed
 from . import oracle, payload_oracle, payload_queries
 from . import readmodels as rm
 from . import views as v
@@ -220,7 +221,7 @@ def m13_drift(spark, sf_dir):
 
 def m10_bootstrap(spark, sf_dir):
     """Block bootstrap against two baselines."""
-    s = _scored(spark, sf_dir)
+    s = checkpointed(_scored(spark, sf_dir).select("match_id", "start_time", "minute", "radiant_win", "p"))
     both = models.constant_baseline(s).withColumn("baseline_name", F.lit("constant")).unionByName(models.bias_baseline(s, s).withColumn("baseline_name", F.lit("bias")))
     return metrics.paired_differences(both)
 
