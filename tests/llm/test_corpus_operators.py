@@ -365,9 +365,56 @@ def test_mix_meets_targets(spark, seed):
     assert words == sum(taken.values()) and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_divides_rows_without_ids_and_keeps_clashing_columns(spark):
+    rows = [(None, f"a{i} b c d", "x", i, "o") for i in range(600)] + [(i, "w " * 9, "y", 0, "p") for i in range(40)] + [(None, None, None, 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, hash int, of string").withColumns({"size": F.lit("s"), "copies": F.lit(9), "threshold": F.lit(0), "row": F.lit("r")})
+    got = mixing.mix(docs).collect()
+    sizes, target = brute_mix([r[:3] for r in rows])
+    by = {v: k for k, v in sizes.items()}
+    taken = Counter()
+    for r in got:
+        taken[by[r.source_size]] += r.taken
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 20 for s in sizes)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in out.collect() if r.text) == sum(taken.values())
+
+
 # --- pipeline
 
 
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, an empty table and columns that clash with the stages' own."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    same, item, long_ = prose(120), prose(40), prose(60_000)
+    texts = [(1, same), (1, same), (None, same), (None, prose(90)), (2, None), (3, ""), (4, prose(200) + " " + item), (5, long_), (6, long_ + " end"), (7, prose(80))]
+    rows = [(d, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else "s", None, "h", i) for i, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS + ", host string, `row` int").withColumns({c: F.lit("clash") for c in ("key", "hash", "size", "copies", "text_key", "set_key", "hashes", "cut_text", "lost_id", "id")})
+    spark.createDataFrame([(1, item), (1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, table in (("full", docs), ("empty", docs.limit(0))):
+        out = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, out, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{name}-{k}")
+            out = spark.read.parquet(f"{tmp_path}/{name}-{k}")
+            found = out.collect()
+            if k < 4:
+                assert sorted(out.columns) == sorted(docs.columns)
+            if name == "empty":
+                assert not found
+            elif k == 0:  # without words or too short: out; repeated rows stay
+                assert sorted(r.row for r in found) == [0, 1, 2, 3, 6, 7, 8, 9]
+            elif k == 1:  # one of a group, the one without id last; of rows 0 and 1 either
+                assert sorted(max(r.row, 1) for r in found) == [1, 3, 6, 7, 9]
+            elif k == 2:
+                assert sorted(max(r.row, 1) for r in found) == [1, 3, 7, 9]
+            elif k == 4:
+                assert all(r.n_tokens > 80 for r in found)
+
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -172,13 +172,13 @@ def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     keyed = docs.select(row, F.col(host).cast("string").alias("host"), "text").withColumn("key", text_digest()).select("row", "key")
     joined = keyed.join(kept, F.col("key") == F.col("kept_key"))
     cut = F.when(F.col("hashes").isNotNull(), without_lines(F.col("row.text"), F.col("hashes"))).otherwise(F.col("row.text"))
-    out = joined.select("row.*", cut.alias("cut_text"), "hashes")
-    columns = []
-    for c in docs.columns:
+    out = joined.select("row", cut.alias("cut"), F.col("hashes").isNotNull().alias("was_cut"))
+
+    def column(c: str) -> Column:
         if c == "text":
-            columns.append(F.col("cut_text").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("hashes").isNotNull(), F.length("cut_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(c))
-    return out.select(*columns)
+            return F.col("cut")
+        if c == "n_chars":
+            return F.when(F.col("was_cut"), F.length("cut").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c])
+        return F.col("row")[c]
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])

@@ -7,9 +7,10 @@ taken by comparing its hash with its source's threshold: no row is ever sorted.
 growing budgets are nested, so a smaller mix is a subset of a larger one.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; null sources are one
-source, last in order; rows with equal doc_id share a hash, so they are taken together; an
-empty table gives no rows; columns of the input other than those used are ignored. A budget
-above a source's size repeats whole documents: floor(target / source_size) copies of each, and
+source, last in order; rows with equal doc_id and text share a hash, so they are taken together,
+while rows without doc_id are told apart by their texts; very long texts are counted whole; an
+empty table gives no rows; columns other than doc_id, text and source are ignored by ``mix`` and
+kept by ``mixed_documents``. A budget above a source's size repeats whole documents: floor(target / source_size) copies of each, and
 one more of those under the threshold.
 """
 
@@ -31,9 +32,9 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(key: str = "doc_id") -> Column:
-    """The first 60 bits of the id's MD5, which other SQL engines compute as well."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+def document_hash(key: str = "doc_id", text: str = "text") -> Column:
+    """The first 60 bits of the MD5 of id and text, which other SQL engines compute as well."""
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("-"), F.coalesce(F.col(text).cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 

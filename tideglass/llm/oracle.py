@@ -99,7 +99,7 @@ FROM y GROUP BY pair_id
 OP10 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST({_WORDS_1} AS BIGINT) AS size,
-         CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:15] AS BIGINT) AS h FROM documents
+         CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-' || coalesce(text, ''))[1:15] AS BIGINT) AS h FROM documents
 ),
 s AS (
   SELECT source, sum(size) AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight
