@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Every stage reads whole texts of any length and keeps columns beyond those of ``documents``, whatever
+their names. An empty table gives an empty one. Documents without words fail the quality rules; rows
+with a null doc_id or source take part, as a document of their own text and a source of their own.
+Repeated rows are one document to the rules and the join, which keeps one of them; of a group of near
+duplicates the one with the least doc_id stays, a null one last. Later stages read what is left.
 """
 
 from __future__ import annotations
