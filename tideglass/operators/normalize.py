@@ -137,3 +137,27 @@ def live_players(games: DataFrame) -> DataFrame:
 
 def _players_type() -> str:
     return f"array<{schemas._LIVE_PLAYER}>"
+
+
+def wiki_search(raw: DataFrame, most: int = 5) -> DataFrame:
+    """league_id, position, title: the first hits of a search for each league (H15). raw: league_id, payload."""
+    hits = F.from_json("payload", schemas.WIKI_SEARCH)["query"]["search"]
+    return raw.select("league_id", F.posexplode(F.slice(hits, 1, most)).alias("position", "hit")).select("league_id", "position", F.col("hit.title").alias("title"))
+
+
+def wiki_facts(raw: DataFrame) -> DataFrame:
+    """title, categories, description, display_name of every page of batched answers."""
+    p = raw.select(F.explode(F.map_values(F.from_json("payload", schemas.WIKI_FACTS)["query"]["pages"])).alias("p")).select("p.*").where(F.coalesce("title", F.lit("")) != "")
+    names = F.transform(F.coalesce("categories", F.array().cast("array<struct<title:string>>")), lambda c: c["title"])
+    return p.select("title", names.alias("categories"), F.col("pageprops.metadescl").alias("description"), F.col("pageprops.displaytitle").alias("display_name")).dropDuplicates(["title"])
+
+
+def wiki_text(raw: DataFrame) -> DataFrame:
+    """page_title, wikitext of parsed pages; a page that does not exist has no text."""
+    p = raw.select(F.from_json("payload", schemas.WIKI_PARSE)["parse"].alias("p"))
+    return p.where(F.coalesce("p.title", F.lit("")) != "").select(F.col("p.title").alias("page_title"), F.coalesce(F.get(F.map_values("p.wikitext"), F.lit(0)), F.lit("")).alias("wikitext"))
+
+
+def wiki_candidates(search: DataFrame, facts: DataFrame) -> DataFrame:
+    """The candidates of ``matching.propose``: hits with what their pages state."""
+    return search.join(facts, "title", "left").select("league_id", "position", "title", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), "display_name", "description")

@@ -217,4 +217,9 @@ PAYLOAD_ORACLE = {
     "m16_report": f"""WITH {_M}, {_P}, s AS (SELECT p.*, win FROM p JOIN m ON p.match_id = m.match_id WHERE win IS NOT NULL), b AS (
         SELECT {_BUCKET} AS bucket, round(avg({_LL}), 3) AS ll, round(avg(pow(p - win::INT, 2)), 3) AS br, round(avg(((p >= 0.5) = win)::INT), 3) AS ac, count(*) AS n FROM s GROUP BY ALL)
       SELECT printf('%-6s log loss %.4f  brier %.4f  accuracy %.3f  n %d', bucket, ll, br, ac, n) AS line FROM b""",
+    "p26_wiki_candidates": """WITH h AS (SELECT p_partkey AS k, CAST(unnest(range(8)) AS INT) AS i FROM part),
+      f AS (SELECT p_partkey AS p, CASE WHEN p_partkey % 3 > 0 THEN 2 ELSE 0 END AS n, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 4 < 3 THEN 'tier' || (p_partkey % 4 + 1) ELSE 'unknown' END AS tier,
+        CASE WHEN p_partkey % 2 = 0 THEN 'tournament of ' || p_brand END AS d FROM part WHERE p_partkey % 11 > 0)
+      SELECT k AS league_id, i AS position, 'Page/' || (k + i) AS title, CAST(coalesce(n, 0) AS INT) AS n_categories, coalesce(tier, 'unknown') AS tier, d AS description FROM h LEFT JOIN f ON p = k + i WHERE i < least(k % 8, 5)""",
+    "h16_wiki_text": "SELECT 'Page/' || p_partkey AS page_title, CASE WHEN p_partkey % 5 > 0 THEN 'text ' || p_brand ELSE '' END AS wikitext FROM part WHERE p_partkey % 7 > 0",
 }

@@ -340,12 +340,25 @@ def m16_report(spark, sf_dir):
     return metrics.report(scores)
 
 
+def p26_wiki_candidates(spark, sf_dir):
+    """Search hits with the facts of their pages."""
+    w = payloads.wiki_answers(spark, sf_dir)
+    c = normalize.wiki_candidates(normalize.wiki_search(w["search"]), normalize.wiki_facts(w["facts"]))
+    page = text.categories(F.col("categories"))
+    return c.select("league_id", "position", "title", F.size("categories").alias("n_categories"), page["tier"].alias("tier"), "description")
+
+
+def h16_wiki_text(spark, sf_dir):
+    """Texts of parsed pages."""
+    return normalize.wiki_text(payloads.wiki_answers(spark, sf_dir)["text"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p06_match_players, p07_match_drafts, p08_match_objectives, p09_match_rows, q11_timeline, p01_matches, p01_teams, p01_series, t12_snapshots_b, t13_snapshots_a, f01_featurize, f08_skips, f04_serving_view,
         w15_rosters, w11_prematch, w11_history_block, t24_live_states, p21_live_draft, p22_live_players, p16_live_teams, w21_live_block, r03_live_scores, q13_public_feed, k03_supplied, k09_absent, k12_children,
         k13_supersede, l10_platt, f22_rules, s02_transient, m16_bias, ratings_of_sides, p13_heroes, p14_pro_players, p15_leagues, t26_realtime, h26_outcomes, h27_to_fetch, f20_map_score, q09_card_players,
-        q10_card_draft, x23_stage_formats, m16_report,
+        q10_card_draft, x23_stage_formats, m16_report, p26_wiki_candidates, h16_wiki_text,
     )
 }

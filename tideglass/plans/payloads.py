@@ -156,3 +156,16 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("*'''Playoffs'''\n** Grand Final is {{abbr/bo5}}, all other matches are {{abbr/"), fmt(2), F.lit("}}\n**'''Lower Bracket''' {{abbr/"), fmt(3), F.lit("}}\n*'''Prize pool''' {{abbr/bo1}}\n==Teams==\n"),
     )
     return v.read(spark, sf_dir, "part").select(k.alias("page_id"), page.alias("page"), F.when(k % 5 > 0, 2020 + k % 5).cast("int").alias("year"))
+
+
+def wiki_answers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Answers of the wiki for each part: a search of its name, facts of its page, its page's text."""
+    k = F.col("p_partkey")
+    p = v.read(spark, sf_dir, "part").select(k, "p_size", "p_brand")
+    title = lambda c: F.concat(F.lit("Page/"), c.cast("string"))
+    hits = F.struct(F.struct(_each(_mod(k, 8), lambda i: F.struct(title(k + i).alias("title"))).alias("search")).alias("query"))
+    tier = F.concat(F.lit("Category:Tier "), (k % 4 + 1).cast("string"), F.lit(" Tournaments"))
+    page = F.struct(F.when(k % 11 > 0, title(k)).alias("title"), F.when(k % 3 > 0, F.array(F.struct(tier.alias("title")), F.struct(F.lit("Category:Online Tournaments").alias("title")))).alias("categories"), F.struct(F.when(k % 2 == 0, F.concat(F.lit("tournament of "), F.col("p_brand"))).alias("metadescl")).alias("pageprops"))
+    facts = F.struct(F.struct(F.create_map(k.cast("string"), page).alias("pages")).alias("query"))
+    text = F.struct(F.struct(F.when(k % 7 > 0, title(k)).alias("title"), F.when(k % 5 > 0, F.create_map(F.lit("*"), F.concat(F.lit("text "), F.col("p_brand")))).alias("wikitext")).alias("parse"))
+    return {"search": p.select(k.alias("league_id"), F.to_json(hits).alias("payload")), "facts": p.select(F.to_json(facts).alias("payload")), "text": p.select(F.to_json(text).alias("payload"))}

@@ -64,3 +64,6 @@ REALTIME = (
 HERO = "id int, name string, localized_name string, primary_attr string, attack_type string, roles array<string>, img string"
 PRO_PLAYER = "account_id long, name string, personaname string, loccountrycode string, fantasy_role int"
 LEAGUE = "leagueid long, name string, tier string"
+WIKI_SEARCH = "query struct<search:array<struct<title:string>>>"
+WIKI_FACTS = "query struct<pages:map<string,struct<title:string,categories:array<struct<title:string>>,pageprops:struct<metadescl:string,displaytitle:string>>>>"
+WIKI_PARSE = "parse struct<title:string,wikitext:map<string,string>>"
