@@ -194,6 +194,31 @@ def test_many_copies_dealt_to_several_tasks(spark, monkeypatch):
     assert all(500 <= removed[100 + i][0] <= 510 and removed[100 + i][1] == 1 for i in range(3))
 
 
+def test_shared_passages_of_over_fifty_words_are_reported(spark):
+    """Passages of 52 to 60 short words, under 400 bytes, in two to five documents; one word less in others."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 7)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], set()
+    for k in range(40):
+        passage = words(52 + k % 9)
+        assert len(passage) < 400
+        for _ in range(2 + k % 4):
+            planted.add(len(rows))
+            rows.append((len(rows), words(rng.randrange(60, 200)) + " " + passage + " " + words(rng.randrange(60, 200))))
+    clean = set(range(len(rows), len(rows) + 60))
+    rows += [(i, words(300)) for i in sorted(clean)]
+    short = set(range(len(rows), len(rows) + 30))
+    for i in sorted(short):
+        if i % 2 == 0 or i == min(short):
+            passage = words(47)
+        rows.append((i, words(150) + " " + passage + " " + words(150)))
+    got = {r.doc_id: r for r in bwt_dedup.removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i for i, r in got.items() if r.repeats_passage}
+    assert not found & clean and not found & short and len(found & planted) >= 0.7 * len(planted)
+    assert all(51 <= got[i].passage_words <= 62 and not got[i].repeats and got[i].n_removed == 0 for i in found)
+
+
 def test_repeats_across_the_cuts_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(bwt_dedup, "CHUNK", 101)
     texts = repeats()

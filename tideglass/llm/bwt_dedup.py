@@ -16,6 +16,9 @@ A byte goes if a ``LENGTH``-byte string that covers it also starts anywhere else
    phases are sequential files in the shared folder.
 3. A window whose common prefix with a neighbour reaches ``LENGTH`` is repeated. Repeated
    windows become byte intervals, and each text is cut by its intervals.
+4. The same prefixes show the longest string that a segment shares around its anchor, however short.
+   One of over ``PASSAGE_WORDS`` whole words is reported and not cut: a passage of that many words
+   may be under ``LENGTH`` bytes. It is found if two of its places chose the same anchor inside it.
 
 An anchor with more than ``GROUP`` different segments is not gathered in one task: its single
 windows are counted by 128-bit hash instead, in rows that spread over all tasks.
@@ -42,6 +45,8 @@ from .common import inverse, maybe_broadcast, mix64, powers, stage_table
 
 LENGTH = 400
 ANCHOR = 200
+#: Shared strings of more whole words than this are reported, whatever their bytes.
+PASSAGE_WORDS = 50
 #: Different segments of one anchor that a task takes together.
 GROUP = 4096
 #: Segments that one run of the column-wise construction takes together.
@@ -54,6 +59,9 @@ BROADCAST_ROWS = 500_000
 CHUNK = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(9))
+#: ASCII white space, by byte + 1.
+_SPACE = np.zeros(257, bool)
+_SPACE[[0x21, *range(0x0A, 0x0F)]] = True
 _TABLES = _RNG.integers(0, 1 << 64, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASES = tuple(int(b) * 2 + 1 for b in _RNG.integers(0, 1 << 63, 2))
 
@@ -138,8 +146,22 @@ def _find_segments(length: int, anchor: int):
     return find
 
 
-def repeated_starts(texts: list[bytes], leads: list[int], groups: list[int], length: int) -> list[np.ndarray]:
-    """For each segment, the window starts that another segment of its group repeats.
+def _whole_words(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column: word starts before it, and word ends at or before it, of every segment.
+
+    symbols: columns x segments, byte + 1, 0 where a segment has none.
+    """
+    word = (symbols > 0) & ~_SPACE[symbols]
+    edge = np.zeros((1, symbols.shape[1]), bool)
+    before, after = np.concatenate([edge, word]), np.concatenate([word, edge])
+    starts, ends = np.zeros(before.shape, np.int32), (before & ~after).astype(np.int32)
+    starts[1:] = np.cumsum(after[:-1] & ~before[:-1], 0)
+    return starts, np.cumsum(ends, 0, dtype=np.int32)
+
+
+def repeated_starts(texts: list[bytes], leads: list[int], groups: list[int], length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each segment, the window starts that another segment of its group repeats, and the whole
+    words of the longest string (in words) around its anchor that another one shares.
 
     The column-wise construction: segments are aligned so that all anchors begin in one column.
     groups: ascending group numbers; suffixes are compared within a group only.
@@ -154,6 +176,7 @@ def repeated_starts(texts: list[bytes], leads: list[int], groups: list[int], len
     group = np.array(groups, np.int64) * 512
     order, prefix = np.arange(m), np.zeros(m, np.int64)  # prefix[i]: common with the suffix before
     hits: list[list[int]] = [[] for _ in range(m)]
+    begun, ended, words, last_anchor = *_whole_words(symbols), np.zeros(m, np.int64), int(left.max())
     for column in range(width - 1, -1, -1):
         inserted = symbols[column][order]
         bucket = group[order] + inserted
@@ -176,10 +199,13 @@ def repeated_starts(texts: list[bytes], leads: list[int], groups: list[int], len
             far = prefix >= length
             for k in set(order[far].tolist()) | set(order[np.flatnonzero(far) - 1].tolist()):
                 hits[k].append(column)
-    return [np.array(h[::-1], np.int64) - shift[k] for k, h in enumerate(hits)]
+        if column <= last_anchor:  # the longest string that begins here and stands in a neighbour too
+            shared = np.maximum(prefix, np.append(prefix[1:], 0))
+            words[order] = np.maximum(words[order], ended[column + shared, order] - begun[column, order])
+    return [np.array(h[::-1], np.int64) - shift[k] for k, h in enumerate(hits)], words
 
 
-_RUNS = "anchor long, hash_1 long, hash_2 long, start int, stop int"
+_RUNS = "anchor long, hash_1 long, hash_2 long, start int, stop int, words int"
 
 
 def _construct(length: int, batch_size: int):
@@ -189,12 +215,14 @@ def _construct(length: int, batch_size: int):
         def solve(rows: list[dict]) -> pa.RecordBatch:
             number = np.cumsum(np.diff([r["anchor"] for r in rows], prepend=rows[0]["anchor"]) != 0)
             out = []
-            for row, starts in zip(rows, repeated_starts([r["bytes"] for r in rows], [r["lead"] for r in rows], number.tolist(), length), strict=True):
+            for row, starts, words in zip(rows, *repeated_starts([r["bytes"] for r in rows], [r["lead"] for r in rows], number.tolist(), length), strict=True):
+                if words > PASSAGE_WORDS:
+                    out.append((row["anchor"], row["hash_1"], row["hash_2"], None, None, int(words)))
                 if len(starts):
                     edge = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
                     for a, b in zip(starts[edge], starts[np.append(edge[1:] - 1, len(starts) - 1)], strict=True):
-                        out.append((row["anchor"], row["hash_1"], row["hash_2"], int(a), int(b) + length))
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+                        out.append((row["anchor"], row["hash_1"], row["hash_2"], int(a), int(b) + length, None))
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 3
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _RUNS.split(", ")])
 
         held, group = [], []
@@ -258,7 +286,8 @@ def _single_windows(length: int):
 
 
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """key_1, key_2, spans: for each text that has any, the byte intervals to remove (they may overlap)."""
+    """key_1, key_2, spans, words: for each text that has any, the byte intervals to remove (they may
+    overlap), and the words of its longest shared string where these are over ``PASSAGE_WORDS``."""
     keyed = docs.select("text").select(*_key(), "text")
     found = stage_table(keyed.mapInArrow(_find_segments(length, anchor), _SEGMENTS), "segments")
     segment = ["anchor", "hash_1", "hash_2"]
@@ -277,19 +306,21 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCH
     large = kinds.where(F.col("kinds") > group).select("anchor").distinct().withColumnRenamed("anchor", "large")
     cut = stage_table(cut.join(large, F.col("anchor") == F.col("large"), "left"), "cut")
 
+    none = F.lit(None).cast("int").alias("words")
     small = cut.where("large IS NULL").drop("large").dropDuplicates(segment)
-    runs = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length, BATCH), _RUNS).select("hash_1", "hash_2", "start", "stop")
+    runs = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length, BATCH), _RUNS).select("hash_1", "hash_2", "start", "stop", "words")
     windows = cut.where("large IS NOT NULL").drop("large").mapInArrow(_single_windows(length), _WINDOWS).dropDuplicates(["hash_1", "hash_2", "start"])
     often = windows.groupBy("window_1", "window_2").count().where("count > 1").select("window_1", "window_2")
-    single = windows.join(often, ["window_1", "window_2"]).select("hash_1", "hash_2", "start", (F.col("start") + length).alias("stop"))
+    single = windows.join(often, ["window_1", "window_2"]).select("hash_1", "hash_2", "start", (F.col("start") + length).alias("stop"), none)
     # a kind of segment that occurs twice or more is repeated as a whole
-    whole = kinds.where("n > 1").select("hash_1", "hash_2", F.lit(0).alias("start"), (F.col("at.last") - F.col("at.first") + length).alias("stop"))
+    whole = kinds.where("n > 1").select("hash_1", "hash_2", F.lit(0).alias("start"), (F.col("at.last") - F.col("at.first") + length).alias("stop"), none)
     runs = stage_table(runs.union(single).union(whole), "runs")
 
     placed = found.select("key_1", "key_2", "first", "hash_1", "hash_2").join(runs, ["hash_1", "hash_2"])
     # copies of a text bring equal spans: a set, which is cut down before it is shuffled
-    spans = placed.select("key_1", "key_2", F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop")).alias("span"))
-    return spans.groupBy("key_1", "key_2").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    span = F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
+    spans = placed.select("key_1", "key_2", F.when(F.col("start").isNotNull(), span).alias("span"), "words")
+    return spans.groupBy("key_1", "key_2").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.max("words").alias("words"))
 
 
 def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -309,7 +340,7 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int, anchor: int, group: int) -> DataFrame:
-    """row (the other columns by place: c0, c1, ...), text, spans. Texts with over ``COPIES`` copies are dealt to several tasks."""
+    """row (the other columns by place: c0, c1, ...), text, spans, words. Texts with over ``COPIES`` copies are dealt to several tasks."""
     spans = stage_table(repeated_intervals(docs, length, anchor, group).withColumnsRenamed({"key_1": "in_1", "key_2": "in_2"}), "spans")
     keys = docs.select(*_key())
     often = keys.groupBy("key_1", "key_2").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("pieces")).where("pieces > 1")
@@ -321,28 +352,33 @@ def _with_spans(docs: DataFrame, length: int, anchor: int, group: int) -> DataFr
     keyed = keyed.join(few, (F.col("key_1") == F.col("hot_1")) & (F.col("key_2") == F.col("hot_2")), "left")
     keyed = keyed.select("row", "text", "key_1", "key_2", F.pmod(F.monotonically_increasing_id(), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"))
     dealt = spans.join(few, (F.col("in_1") == F.col("hot_1")) & (F.col("in_2") == F.col("hot_2")), "left")
-    dealt = dealt.select("in_1", "in_2", "spans", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("in_piece"))
+    dealt = dealt.select("in_1", "in_2", "spans", "words", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("in_piece"))
     same = (F.col("key_1") == F.col("in_1")) & (F.col("key_2") == F.col("in_2")) & (F.col("piece") == F.col("in_piece"))
-    return keyed.join(dealt, same, "left").select("row", "text", "spans")
+    return keyed.join(dealt, same, "left").select("row", "text", "spans", "words")
 
 
-_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeats boolean"
+_DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeats boolean, passage_words int, repeats_passage boolean"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"], strict=True):
+        for doc_id, text, spans, words in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"], batch["words"].to_pylist(), strict=True):
             data, runs = (text.as_py() or "").encode(), merge(spans.as_py())
-            rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept := _kept(data, runs)).hexdigest(), len(kept), bool(runs)))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.bool_()]
+            rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept := _kept(data, runs)).hexdigest(), len(kept), bool(runs), words or 0, bool(runs) or words is not None))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in _DIGEST.split(", ")])
 
 
 def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, repeats (something was removed) of every row of ``docs`` (doc_id, text)."""
+    """One row per row of ``docs`` (doc_id, text).
+
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept; repeats: something was removed;
+    passage_words: whole words of the longest string shared with another place, as far as a shared
+    anchor shows it and if they are over ``PASSAGE_WORDS``, else 0; repeats_passage: either holds.
+    """
     rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, anchor, group)
-    return rows.select(F.col("row.c0").alias("doc_id"), "text", "spans").mapInArrow(_digest, _DIGEST)
+    return rows.select(F.col("row.c0").alias("doc_id"), "text", "spans", "words").mapInArrow(_digest, _DIGEST)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
@@ -354,6 +390,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gro
             keep = [n for n in batch.schema.names if n not in ("text", "spans")]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch[n] for n in keep)], ["cut_text", *keep])
 
-    rows = _with_spans(docs, length, anchor, group)
+    rows = _with_spans(docs, length, anchor, group).select("row", "text", "spans")
     out = rows.mapInArrow(cut, f"cut_text string, row {rows.schema['row'].dataType.simpleString()}")
     return out.select(*[F.col("cut_text" if c == "text" else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
