@@ -39,6 +39,7 @@ SEGMENT_DOCS = 1 << 15
 SAMPLE = 64
 #: Words whose ids a worker remembers.
 MEMO_WORDS = 600_000
+MEMO_CHARS = 64
 
 #: A blank before white space or the end, and a line break beside white space or at the end:
 #: there the tokenizer does not always split.
@@ -112,6 +113,21 @@ def ef_decode(code: dict) -> np.ndarray:
 # --- encoding --------------------------------------------------------------------------------
 
 
+class _Memo(dict):
+    """Ids of words, learnt when a word is first asked for; emptied at ``MEMO_WORDS`` words. Long ones are not kept."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.learn(word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """The tokenizer, asked once for each word it has not met.
 
@@ -130,55 +146,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
-        literals = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.literal = re.compile("|".join(literals) or r"(?!)")
-        self.model = self.tokenizer.model
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.typecode = {2: "H", 4: "I"}[self.dtype.itemsize]
         # the one byte-to-letter table of byte-level vocabularies, as the library applies it
         self.byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.letters = {c: "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))) for c in range(0x250) if chr(c).isalpha()} if self.byte_level else {}
-        self.blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.byte_level else ""
-        self.newline = self._whole(["\n"])[0]
-        self.first: dict[str, bytes] = {"": b""}
-        self.later: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(code.ids, self.dtype).tobytes() for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = words - memo.keys()
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            memo[""] = b""
-            new = words - memo.keys()
-        other, tokenize, marks, letters, code = [], self.model.tokenize, self.marks, self.letters, self.typecode
-        for word in new:
-            plain = _PLAIN.fullmatch(word) if self.byte_level else None
-            if not plain or self.literal.search(word):
-                other.append(word)
-                continue
-            core, mark = plain.groups()
-            if mark not in marks:
-                marks[mark] = array(code, [t.id for t in tokenize(mark)]).tobytes()
-            unit = core if core.isascii() else core.translate(letters)
-            memo[word] = array(code, [t.id for t in tokenize(self.blank + unit if lead else unit)]).tobytes() + marks[mark]
-        for at in range(0, len(other), 1000):
-            part = other[at : at + 1000]
-            memo.update(zip(part, self._whole([lead + w for w in part]), strict=True))
-        if len(marks) > 10_000:
-            marks.clear()
-            marks[""] = b""
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0] if self.byte_level else ""
+        self.newline = self._whole("\n")
+        self.first, self.later = _Memo(self._learner("", "")), _Memo(self._learner(" ", blank))
+        self.marks = _Memo(self._units)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.typecode, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _units(self, text: str) -> bytes:
+        return array(self.typecode, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+
+    def _learner(self, lead: str, blank: str):
+        """Ids of a word after ``lead``."""
+        plain, letters, units, whole = _PLAIN.fullmatch, self.letters, self._units, self._whole
+
+        def learn(word: str) -> bytes:
+            found = plain(word) if self.byte_level else None
+            if not found:
+                return whole(lead + word)
+            core, mark = found.groups()
+            return units(blank + (core if core.isascii() else core.translate(letters))) + self.marks[mark]
+
+        return learn
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [self.literal.search(t) is not None for t in texts]
-        split = [[t] if w or _NO_BLANK.search(t) else t.split("\n") if not _NO_BREAK.search(t) else [t] for t, w in zip(texts, whole, strict=True)]
-        lines = [[[x] if w or _NO_BLANK.search(x) else x.split(" ") for x in p] for p, w in zip(split, whole, strict=True)]
-        self._learn(self.first, {w[0] for p in lines for w in p}, "")
-        self._learn(self.later, {x for p in lines for w in p for x in w[1:]}, " ")
-        first, later, newline = self.first, self.later, self.newline
-        return [newline.join([first[w[0]] + b"".join([later[x] for x in w[1:]]) for w in p]) for p in lines]
+        first, later, newline = self.first, self.later.__getitem__, self.newline
+        out = []
+        for text in texts:
+            if any(x in text for x in self.literals) or _NO_BLANK.search(text):
+                out.append(self._whole(text))
+            else:
+                # a line cannot end in a blank here: one before its line break would have been found
+                lines = [text] if _NO_BREAK.search(text) else text.split("\n")
+                parts = []
+                for line in lines:
+                    word, *rest = line.split(" ")
+                    parts.append(first[word] + b"".join(map(later, rest)))
+                out.append(newline.join(parts))
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
