@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -47,7 +48,7 @@ if __name__ == "__main__":
     from tideglass.session import build_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    session, con = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}), duck(folder)
+    session, con = build_session(master=f"local[{os.environ.get('COMPARE_CPUS', 8)}]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}), duck(folder)
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(f"/tmp/compare-{time.time_ns()}")
     for name in sys.argv[2:] or list(catalog.QUERIES):
