@@ -127,4 +127,78 @@ SELECT d.doc_id, d.size, CAST(b.source_size AS BIGINT) AS source_size, b.target,
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLE = {"op1_token_rollup": OP1, "op2_line_quality": OP2, "op6_preference_pairs": OP6, "op10_mix_sources": OP10}
+_SQUARED = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))"
+
+
+def _nearest(k: int) -> str:
+    """Least distance * 64 + entry of every part, and the codebooks after it."""
+    return f"""
+m{k} AS (SELECT p.r, p.part, min({_SQUARED} * 64 + b.entry) AS m FROM p JOIN b{k} b ON p.part = b.part GROUP BY ALL),
+t{k} AS (SELECT part, m % 64 AS entry, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS c FROM (
+  SELECT p.part, m, unnest(p.x) AS v, unnest(range(1, len(p.x) + 1)) AS i FROM p JOIN m{k} USING (r, part)) GROUP BY ALL),
+b{k + 1} AS (
+  SELECT b.part, b.entry, coalesce(t.x, b.x) AS x
+  FROM b{k} b LEFT JOIN (SELECT part, entry, list(c ORDER BY i) AS x FROM t{k} GROUP BY ALL) t ON b.part = t.part AND b.entry = t.entry
+)"""
+
+
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: c IS NOT NULL AND isfinite(c)))
+),
+q AS (SELECT *, unnest(range(16)) AS part FROM d),
+p AS (SELECT r, vec_id, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x FROM q),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IS NOT NULL QUALIFY entry < 64),
+{_nearest(0)}, {_nearest(1)}, {_nearest(2)},
+e AS (SELECT r, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM m2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM e JOIN d USING (r)
+"""
+
+
+def _levels(name: str, tree: str, n: int) -> str:
+    """Tables {name}1 .. {name}n of the nodes (t: tree, i: place, h, m: nodes left) above {name}0, and u{name}: runs of siblings by level."""
+    up = [
+        f"{name}{k + 1} AS (SELECT t, i // 3 AS i, CASE WHEN any_value(m) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(m) + 2) // 3 AS m FROM {name}{k} GROUP BY t, i // 3)"
+        for k in range(n)
+    ]
+    runs = " UNION ALL ".join(f"SELECT {k} AS k, t, i // 3 AS i, list(h ORDER BY i) AS hs FROM {name}{k} WHERE m > 1 GROUP BY t, i // 3" for k in range(n))
+    return ",\n".join([*up, f"u{name} AS ({runs})"])
+
+
+#: Levels that the SQL writes out: as many documents a source, and as many sources, as 3 to that power.
+_DOC_LEVELS, _SOURCE_LEVELS = 16, 8
+_FIELD = lambda c, v: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END"
+_LEAF = lambda text: "sha256(concat(" + ", ".join(_FIELD(c, f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars")) + ", " + _FIELD("text", text) + "))"
+_CRC32 = "list_reduce(list_transform(range(1, strlen(s) + 1), lambda i: ascii(s[i])), lambda a, c: xor(a >> 8, list_reduce([xor(a, c) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS t, CAST(doc_id AS VARCHAR) AS s,
+         {_LEAF("text")} AS leaf, {_LEAF("replace(text, chr(10), '')")} AS other FROM documents
+),
+w AS (SELECT r, doc_id, t, leaf, CASE WHEN xor({_CRC32}, 4294967295) % 2 = 0 THEN other ELSE leaf END AS told, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+a0 AS (SELECT t, i, leaf AS h, count(*) OVER (PARTITION BY t) AS m FROM w),
+{_levels("a", "t", _DOC_LEVELS)},
+sub AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS i FROM a{_DOC_LEVELS}),
+z0 AS (SELECT 0 AS t, i, h, count(*) OVER () AS m FROM sub),
+{_levels("z", "0", _SOURCE_LEVELS)},
+steps AS (
+  SELECT r, k, w.i // CAST(3 ** k AS BIGINT) % 3 AS place, hs FROM w JOIN ua ON w.t = ua.t AND w.i // CAST(3 ** (k + 1) AS BIGINT) = ua.i
+  UNION ALL SELECT r, {_DOC_LEVELS} + k, sub.i // CAST(3 ** k AS BIGINT) % 3, hs FROM w JOIN sub USING (t) JOIN uz ON sub.i // CAST(3 ** (k + 1) AS BIGINT) = uz.i
+),
+paths AS (
+  SELECT r, list(array_to_string(hs[1:place], '') || ',' || array_to_string(hs[place + 2:], '') ORDER BY k) AS path FROM steps GROUP BY r
+),
+f AS (
+  SELECT w.*, coalesce(path, []) AS path,
+         list_reduce(coalesce(path, []), lambda acc, x: sha256(concat(split_part(x, ',', 1), acc, split_part(x, ',', 2))), told) AS folded_root
+  FROM w LEFT JOIN paths USING (r)
+)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(replace(array_to_string(path, ''), ',', '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM f JOIN sub ON f.t = sub.t CROSS JOIN (SELECT h AS root FROM z{_SOURCE_LEVELS}) z
+"""
+
+ORACLE = {"op1_token_rollup": OP1, "op2_line_quality": OP2, "op6_preference_pairs": OP6, "op10_mix_sources": OP10, "op11_vector_codes": OP11, "op12_merkle_manifest": OP12}

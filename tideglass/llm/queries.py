@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontaminate, licenses, line_quality, mixing, ngram_join, preference, token_rollup, token_store, toxicity
+from . import bwt_dedup, decontaminate, language_id, licenses, line_quality, merkle, mixing, ngram_join, preference, token_rollup, token_store, toxicity, vector_codes
 from .common import new_path, read_table
 from .oracle import ORACLE
 
@@ -63,8 +63,26 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents", *merkle.FIELDS))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return language_id.predict_languages(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), public_tokenizers.path(language_id.VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_rollup, op2_line_quality, op3_token_store, op4_ngram_join, op5_decontaminate, op6_preference_pairs, op7_toxicity, op8_license_scan, op9_bwt_dedup, op10_mix_sources)
+    f.__name__: f
+    for f in (
+        op1_token_rollup, op2_line_quality, op3_token_store, op4_ngram_join, op5_decontaminate, op6_preference_pairs, op7_toxicity, op8_license_scan, op9_bwt_dedup, op10_mix_sources,
+        op11_vector_codes, op12_merkle_manifest, op13_language_id,
+    )
 }
 
 
