@@ -288,9 +288,13 @@ def ineligible_reason(duration: Column, players: Column, radiant_team: Column, d
     )
 
 
+#: Fixed value: credentials in URLs.
+SECRET = r"([?&])(access_token|api_key|token|key)=[^&\s'\"]+"
+
+
 def redact(text: Column) -> Column:
     """Credentials in URLs blanked."""
-    return F.regexp_replace(text, r"([?&])(access_token|api_key|token|key)=[^&\s'\"]+", "$1$2=***")
+    return F.regexp_replace(text, SECRET, "$1$2=***")
 
 
 def model_version(now: Column, prefix: str = "lgbm") -> Column:

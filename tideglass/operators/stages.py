@@ -32,6 +32,7 @@ def place_series(series: DataFrame, matches: DataFrame, stages: DataFrame) -> Da
     )
     one, agree = F.col("covering") == 1, (F.col("possible") == 1) | (F.col("formats") == 1)
     chosen = F.when(one, F.col("any")).when(agree, F.col("fit"))
+    # The reasons' texts.
     reason = (
         F.when(F.col("covering") == 0, "no stage covers the dates").when(one, "single stage covers the dates").when(F.col("possible") == 1, "map count ruled out the other stages")
         .when(F.col("possible") == 0, "map count fits no covering stage").when(F.col("formats") == 1, "overlapping stages agree on the format").otherwise("several stages overlap and disagree on the format")

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from ..functions.rules import SECRET
+
 # Attempts, waits in seconds, statuses that may pass, failures in a row that end a run.
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 4, 2.0, 120.0
 TRANSIENT = (408, 429)
@@ -30,7 +32,13 @@ def is_transient(error: Exception) -> bool:
 
 
 def redact(text: str) -> str:
-    return re.sub(r"([?&])(access_token|api_key|token|key)=[^&\s'\"]+", r"\1\2=***", text)
+    return re.sub(SECRET, r"\1\2=***", text)
+
+
+def asked_to_wait(error: Exception) -> float:
+    """Seconds that a refusal names in Retry-After, at most ``LONGEST_WAIT``; 0 where it names none."""
+    named = (error.headers or {}).get("Retry-After", "") if isinstance(error, urllib.error.HTTPError) else ""
+    return min(float(named), LONGEST_WAIT) if named.isdigit() else 0.0
 
 
 def fetch(url: str, body: bytes | None = None, headers: dict | None = None, opener=urllib.request.urlopen, sleep=time.sleep) -> str:
@@ -43,7 +51,8 @@ def fetch(url: str, body: bytes | None = None, headers: dict | None = None, open
         except Exception as e:
             if attempt == ATTEMPTS - 1 or not is_transient(e):
                 raise RuntimeError(redact(f"{type(e).__name__} at {url}: {e}")) from None
-        sleep(wait)
+            asked = asked_to_wait(e)
+        sleep(max(wait, asked))
         wait = min(wait * 2, LONGEST_WAIT)
     raise AssertionError("unreachable")
 
@@ -134,12 +143,17 @@ class _Forward(_Keyset, DataSourceReader):
 class _Pages(_Keyset, SimpleDataSourceStreamReader):
     """Backwards over keyset pages, one a micro-batch; Spark's checkpoint keeps the cursor.
 
-    An offset holds the least and the greatest id so far. A batch that is read again asks for the
+    An offset holds the least and the greatest id so far; ``start`` and ``most`` go on from a range
+    that is stored already. A batch that is read again asks for the
     ids between its two offsets, so rows that appeared since then do not enter it.
     """
 
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.start, self.most = (int(options[k]) if options.get(k) else None for k in ("start", "most"))
+
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"least": None, "most": None}
+        return {"least": self.start, "most": self.most}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows = self.page(start["least"])
