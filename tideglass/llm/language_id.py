@@ -303,4 +303,4 @@ def predict_languages(docs: DataFrame, vocabulary: str) -> DataFrame:
         langs, after = [r["lang"] for r in block], block[-1]["lang"]
         priors = np.log(np.array([r["n"] for r in block]) / n)
         rows = _score_block(rows, langs, train(counts, langs, pieces), priors, pieces)
-    return rows.select("doc_id", held_out().alias("held_out"), F.coalesce("best", F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce(F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0)), F.lit(0.0)).alias("score"))
+    return rows.select("doc_id", held_out().alias("held_out"), F.coalesce("best", F.lit(UNDETERMINED)).alias("lang_pred"), F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0))).alias("score"))

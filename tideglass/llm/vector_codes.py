@@ -74,11 +74,11 @@ def quantised(rows: DataFrame, parts: int = PARTS, vector: str = "embedding") ->
 
 
 def _out(x: np.ndarray) -> np.ndarray:
-    return x + np.abs(x) * 2.0**-50
+    return x * np.where(x > 0, 1 + 2.0**-50, 1 - 2.0**-50)
 
 
 def _in(x: np.ndarray) -> np.ndarray:
-    return x - np.abs(x) * 2.0**-50
+    return x * np.where(x > 0, 1 - 2.0**-50, 1 + 2.0**-50)
 
 
 def _narrow(x: np.ndarray, toward: float) -> np.ndarray:
