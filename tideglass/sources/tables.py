@@ -12,6 +12,7 @@ that a batch is done become visible together; a batch that comes again changes n
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -103,10 +104,14 @@ class KeyedTable:
     def _touched(self, keys: DataFrame) -> list[str]:
         return sorted(str(r[0]) for r in keys.select(self._bucket()).distinct().collect())  # at most `buckets` rows
 
+    def near(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """All rows of the buckets that hold the ``bucket_by`` columns of ``keys``."""
+        return self._rows(self.snapshot(version), self._touched(keys))
+
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Rows with the ``bucket_by`` columns of ``keys``, from their buckets alone."""
         own = keys.select(*self.bucket_by).distinct()
-        return self._rows(self.snapshot(), self._touched(own)).join(own, self.bucket_by, "left_semi")
+        return self.near(own).join(own, self.bucket_by, "left_semi")
 
     def commit(self, changes: DataFrame, merge: Merge, batch: tuple[str, int] | None = None, cursors: Callable[[dict], dict] | None = None, touching: DataFrame | None = None) -> Snapshot:
         """Merge ``changes`` into the buckets of their keys (or those of ``touching``) and publish a version.
@@ -164,13 +169,19 @@ class KeyedTable:
         """The active rows of decided keys are closed, the decisions become active (K13); key: the first of ``bucket_by``."""
         return self.commit(decisions, lambda old, rows: upserts.supersede(old, rows, self.bucket_by[0], now), **how)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete all but the last ``keep`` versions and the folders that only they name; no write may be under way."""
-        versions = self.versions()
+    def vacuum(self, keep: int = 1, older_than: float = 0) -> int:
+        """Delete all but the last ``keep`` versions, and the folders that only they name.
+
+        older_than: only files that are so many seconds old, which must be longer than a write takes
+        where others may be under way.
+        """
+        versions, latest = self.versions(), (time.time() - older_than) * 1000
         stay = versions[-keep:]
         named = {f.removeprefix("data/") for v in stay for f in self.snapshot(v).buckets.values()}
         gone = [f"data/{n}" for n in self._names("data") if n not in named] + [f"drafts/{n}" for n in self._names("drafts")] + [f"manifests/{v:020d}.json" for v in versions if v not in stay]
+        deleted = 0
         for name in gone:
             path, files = self._hadoop(f"{self.path}/{name}")
-            files.delete(path, True)
-        return len(gone)
+            if files.getFileStatus(path).getModificationTime() <= latest:
+                deleted += files.delete(path, True)
+        return deleted
