@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from tideglass.llm import line_quality, mixing, preference, token_rollup, token_store, toxicity
 from tideglass.llm.common import new_path
+from tideglass.sources.tables import KeyedTable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,19 +55,35 @@ def test_rollup_adds_signed_changes_and_commits_once(spark):
 
 
 def test_rollup_of_lost_and_doubled_attempts_and_of_many_batches(spark, monkeypatch):
-    monkeypatch.setattr(token_rollup, "FOLD_AFTER", 2)
-    path = new_path(spark, "test-rollup")
+    path, publish = new_path(spark, "test-rollup"), KeyedTable._publish
     one = changes(spark, [("insert", "a", "en", "v1", 10, None, None, None, None)])
-    token_rollup.reduce_deltas(token_rollup.signed_deltas(one)).write.parquet(f"{path}/deltas/lost")  # its driver was lost before the record
+    two = changes(spark, [("insert", None, "en", "v1", 3, None, None, None, None)])
+
+    def lost(self, new):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):  # the driver is lost before the rename
+        patch.setattr(KeyedTable, "_publish", lost)
+        token_rollup.commit_batch(one, path, "0")
     assert as_dict(token_rollup.totals(spark, path)) == {}
-    for attempt in ("b", "a"):  # two drivers commit one batch at the same time
-        token_rollup.reduce_deltas(token_rollup.signed_deltas(one)).write.parquet(f"{path}/deltas/{attempt}")
-        token_rollup._publish(spark, path, "0", attempt)
-    assert as_dict(token_rollup.totals(spark, path)) == {("a", "en", "v1"): (1, 10)}
+    others = [("0", one), ("x", two)]
+
+    def second(self, new):
+        if others:  # two other drivers are faster, one with the same batch
+            token_rollup.commit_batch(others.pop()[1], path, "0" if not others else "x")
+        return publish(self, new)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(KeyedTable, "_publish", second)
+        token_rollup.commit_batch(one, path, "0")
+    assert as_dict(token_rollup.totals(spark, path)) == {("a", "en", "v1"): (1, 10), (None, "en", "v1"): (1, 3)}
+    monkeypatch.setattr(token_rollup, "KEPT_VERSIONS", 2)
+    monkeypatch.setattr(token_rollup, "KEPT_SECONDS", -5)
     for k in range(1, 5):
         token_rollup.commit_batch(one, path, str(k))
-    assert as_dict(token_rollup.totals(spark, path)) == {("a", "en", "v1"): (5, 50)}
-    assert len(token_rollup._live_attempts(spark, path)) <= 3
+        token_rollup.commit_batch(one, path, "1")
+    assert as_dict(token_rollup.totals(spark, path)) == {("a", "en", "v1"): (5, 50), (None, "en", "v1"): (1, 3)}
+    assert len(token_rollup._table(spark, path).versions()) <= 3
 
 
 def test_document_changes_and_counts(spark):

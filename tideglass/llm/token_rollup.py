@@ -5,15 +5,12 @@ and a revision takes the old count away under its old key and adds the new one.
 rows are additive, so a batch is reduced to one row per group before it is written, and the
 totals are the sums over all committed batches.
 
-A rollup is a folder of two parts. ``deltas/<attempt>`` holds one reduced table of signed sums,
-under a name that no other attempt has, so nothing that a reader sees is ever overwritten.
-``ledger`` is an append-only table of commit records; only the append of a record makes its
-attempt count. A batch whose id has a record is committed: committing it again, after a lost
-driver or by mistake, adds nothing, and of two attempts at the same time the lesser name counts.
-``compact`` writes the present totals as one attempt whose record names the batches it covers;
-ids stay in the ledger, so a batch that comes again after that adds nothing either. Totals are
-the newest such base and the batches it does not cover, and every ``FOLD_AFTER`` uncovered
-batches ``commit_batch`` compacts by itself.
+A rollup is a table that is written by key (``sources.tables``): a row a group, and a row a committed
+batch id. A commit adds its deltas to the buckets of their groups and its id to the bucket of the id,
+and all of it becomes visible with one rename. A batch whose id is there adds nothing, whether it comes
+again after a lost driver, by mistake, or from two drivers at once: the second finds the id's bucket
+changed, reads it anew and leaves the table as it is. What the driver holds is the list of buckets;
+groups and ids are read by Spark, and only from the buckets that a commit touches.
 
 Tokens are counted by pattern in the JVM (``count_tokens``) or by a vocabulary of the tokenizers
 library (``vocabulary_counts``); each is a version of its own.
@@ -26,26 +23,25 @@ committed and adds nothing; a folder without commits has no totals; other column
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.utils import AnalysisException
 
+from ..sources.tables import KeyedTable
 from .common import WORD, stage_table
 
 KEYS = ("source", "lang", "tokenizer_version")
 #: The two tokenizer versions that the query counts by.
 VERSIONS = {"words-1": WORD, "pieces-2": r"\w+|[^\w\x20\x09-\x0D]"}
 
-#: Uncovered batches after which a commit compacts.
-FOLD_AFTER = 16
+#: Buckets of a rollup, versions that are kept, and how old files are before they are deleted (seconds).
+BUCKETS, KEPT_VERSIONS, KEPT_SECONDS = 32, 16, 86_400
 
 _DELTAS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
-_LEDGER = "batch_id string, attempt string, covers array<string>, at timestamp"
+_ROLLUP = f"batch_id string, {_DELTAS}"
 
 
 def count_tokens(text: str, version: str):
@@ -96,72 +92,40 @@ def reduce_deltas(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
-def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(_LEDGER).parquet(f"{path}/ledger")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], _LEDGER)
-
-
-def _publish(spark: SparkSession, path: str, batch_id: str | None, attempt: str, covers: DataFrame | None = None) -> None:
-    """Append one commit record; ``covers``: a column of batch ids, for a base."""
-    record = spark.range(1) if covers is None else covers.agg(F.collect_set("batch_id").alias("ids"))
-    ids = F.lit(None).cast("array<string>") if covers is None else F.col("ids")
-    record = record.select(F.lit(batch_id).cast("string").alias("batch_id"), F.lit(attempt).alias("attempt"), ids.alias("covers"), F.current_timestamp().alias("at"))
-    record.coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+def _table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, _ROLLUP, ["batch_id", *KEYS], buckets=BUCKETS)
 
 
 def commit_batch(changes: DataFrame, path: str, batch_id: str) -> None:
     """Reduce a batch of changes and commit it under ``batch_id``; the same batch may come again."""
-    spark, attempt = changes.sparkSession, uuid.uuid4().hex
-    if not _ledger(spark, path).where(F.col("batch_id") == batch_id).isEmpty():
+    spark = changes.sparkSession
+    table, own = _table(spark, path), F.col("batch_id") == batch_id
+    nothing = [F.lit(None).cast("string").alias(c) for c in KEYS]
+    mark = spark.range(1).select(F.lit(batch_id).cast("string").alias("batch_id"), *nothing, *[F.lit(0).cast("long").alias(c) for c in ("n_docs", "n_tokens")])
+    if not table.near(mark).where(own).isEmpty():
         return
-    reduce_deltas(signed_deltas(changes)).write.parquet(f"{path}/deltas/{attempt}")
-    _publish(spark, path, batch_id, attempt)
-    if len(_live_attempts(spark, path)) > FOLD_AFTER:
-        compact(spark, path)
-
-
-def _base(spark: SparkSession, path: str):
-    """The newest record of a base, or None."""
-    return _ledger(spark, path).where("covers IS NOT NULL").orderBy(F.size("covers").desc(), F.col("at").desc(), "attempt").select("attempt", "covers").first()
 
+    def add(old: DataFrame, new: DataFrame) -> DataFrame:
+        if not old.where(own).isEmpty():  # another driver was faster
+            return old
+        both = old.unionByName(new)
+        sums = reduce_deltas(both.where("batch_id IS NULL")).where("n_docs <> 0 OR n_tokens <> 0")
+        return both.where("batch_id IS NOT NULL").unionByName(sums.select(F.lit(None).cast("string").alias("batch_id"), "*"))
 
-def _live_attempts(spark: SparkSession, path: str) -> list[str]:
-    """Attempts that make up the totals: the base and, for each batch it does not cover, the least attempt."""
-    base = _base(spark, path)
-    batches = _ledger(spark, path).where("covers IS NULL").groupBy("batch_id").agg(F.min("attempt").alias("attempt")).collect()  # at most FOLD_AFTER are not covered
-    covered = set(base["covers"]) if base else set()
-    return ([base["attempt"]] if base else []) + sorted(r["attempt"] for r in batches if r["batch_id"] not in covered)
-
-
-def committed(spark: SparkSession, path: str) -> DataFrame:
-    """Signed sums of the base and of every batch it does not cover."""
-    attempts = _live_attempts(spark, path)
-    if not attempts:
-        return spark.createDataFrame([], _DELTAS)
-    return spark.read.schema(_DELTAS).parquet(*[f"{path}/deltas/{a}" for a in attempts])
+    deltas = reduce_deltas(signed_deltas(changes)).select(F.lit(None).cast("string").alias("batch_id"), "*")
+    made = table.commit(deltas.unionByName(mark), add)
+    if made.version % KEPT_VERSIONS == 0:
+        table.vacuum(KEPT_VERSIONS, KEPT_SECONDS)
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """Present totals: source, lang, tokenizer_version, n_docs, n_tokens."""
-    return reduce_deltas(committed(spark, path)).where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
+    return _table(spark, path).read().where("batch_id IS NULL").select(*KEYS, "n_docs", "n_tokens")
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    """Fold every batch committed so far into one base; batch ids stay known."""
-    live = set(_live_attempts(spark, path))
-    base = _base(spark, path)
-    seen = _ledger(spark, path).where("covers IS NULL")
-    ids = [r["batch_id"] for r in seen.where(F.col("attempt").isin(list(live))).select("batch_id").collect()] + (base["covers"] if base else [])
-    if not ids:
-        return
-    attempt = uuid.uuid4().hex
-    tables = spark.read.schema(_DELTAS).parquet(*[f"{path}/deltas/{a}" for a in sorted(live)])
-    reduce_deltas(tables).write.parquet(f"{path}/deltas/{attempt}")
-    _publish(spark, path, None, attempt, spark.createDataFrame([(i,) for i in ids], "batch_id string"))
+    """Delete all versions but the present one; no commit may be under way. Batch ids stay known."""
+    _table(spark, path).vacuum()
 
 
 def document_changes(docs: DataFrame, labels: DataFrame) -> list[tuple[str, DataFrame]]:
