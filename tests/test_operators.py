@@ -88,7 +88,7 @@ def test_details_of_both_sources(spark):
     assert [(r.order, r.hero_id) for r in t["match_drafts"].orderBy("order").collect()] == [(0, 5), (1, 6)]
     o = t["match_objectives"].where("match_id = 7").orderBy("ordinal").collect()
     assert [(r.ordinal, r.key) for r in o] == [(0, "npc_dota_badguys_tower1_top"), (1, "npc_dota_badguys_tower1_mid"), (2, "npc_dota_goodguys_melee_rax_top")]
-    timeline = readmodels.timeline_of(t["match_objectives"].where("match_id = 8")).collect()
+    timeline = readmodels.timeline_of(t["match_objectives"].where("match_id = 8")).orderBy("time", "ordinal").collect()
     assert [(r.minute, r.kind, r.is_radiant) for r in timeline] == [(0, "first_blood", None), (1, "roshan", True), (1, "aegis", True), (1, "tower", False)]
     s = {r.minute: r for r in snapshots.snapshots_a(parsed(spark, schemas.DETAIL_A, a)).collect()}
     assert (s[0].roshan_kills, s[1].roshan_kills, s[1].aegis_is_radiant, s[1].roshan_respawn_in) == (0, 1, True, 70 + 570 - 120) and s[7].aegis_is_radiant is None and s[1].dire_towers == 10

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass.operators import ratings
+from tideglass.plans import catalog
 
 MAPS = "match_id long, start_time timestamp, radiant_win boolean, radiant array<bigint>, dire array<bigint>"
 
@@ -124,3 +125,10 @@ def test_late_maps_leave_the_rest_alone(spark):
     gone = ratings.rate_late(df, spark.createDataFrame([(99, None, None, None, None)], MAPS), stored)
     assert ratings.apply_late(stored, gone).before.count() == 198 and {r.games for r in gone.after.collect()} == {19}
     assert stored.before.where(F.col("match_id") == 99).count() == 2
+
+
+def test_late_maps_over_whole_tables(spark):
+    """The query over late and corrected maps gives what one fold over all maps gives."""
+    folder = "/root/testdata/sf0.001"
+    key = lambda df: {(r.match_id, r.account_id): (r.mu, r.sigma, r.games) for r in df.collect()}
+    same(key(catalog.QUERIES["r09_late_ratings"](spark, folder)), key(catalog.w13_ratings(spark, folder)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import history, matching, metrics, models, prematch, ratings, snapshots, stages, upserts
 from ..session import checkpointed
-from . import oracle, payload_oracle, payload_queries
+from . import oracle, payload_oracle, payload_queries, stored_queries
 from . import readmodels as rm
 from . import views as v
 
@@ -313,7 +313,7 @@ _OWN = {
     )
 }
 
-QUERIES = _OWN | payload_queries.QUERIES
+QUERIES = _OWN | payload_queries.QUERIES | stored_queries.QUERIES
 
 #: The queries as DuckDB SQL, where SQL can express them.
-ORACLE = oracle.ORACLE | payload_oracle.PAYLOAD_ORACLE
+ORACLE = oracle.ORACLE | payload_oracle.PAYLOAD_ORACLE | stored_queries.STORED_ORACLE

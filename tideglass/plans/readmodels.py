@@ -78,24 +78,23 @@ def recent_matches(predictions: DataFrame, matches: DataFrame, leagues: DataFram
 
 
 def players_of(match_players: DataFrame, heroes: DataFrame, players: DataFrame) -> DataFrame:
-    """Players with names, in slot order within a match (Q09, Q12)."""
+    """Players with names (Q09, Q12); a card sorts its own by player_slot."""
     h = heroes.select("hero_id", F.col("localized_name").alias("hero_name"), F.col("image_path").alias("hero_image"))
-    out = match_players.join(h, "hero_id", "left").join(players.select("account_id", F.col("name").alias("player_name")), "account_id", "left")
-    return out.orderBy("match_id", "player_slot")
+    return match_players.join(h, "hero_id", "left").join(players.select("account_id", F.col("name").alias("player_name")), "account_id", "left")
 
 
 def draft_of(match_drafts: DataFrame, heroes: DataFrame) -> DataFrame:
-    """Q10."""
+    """Picks and bans with names (Q10); a card sorts its own by order."""
     h = heroes.select("hero_id", F.col("localized_name").alias("hero_name"))
-    return match_drafts.join(h, "hero_id", "left").withColumn("is_radiant", F.col("team") == 0).orderBy("match_id", "order")
+    return match_drafts.join(h, "hero_id", "left").withColumn("is_radiant", F.col("team") == 0)
 
 
 def timeline_of(match_objectives: DataFrame) -> DataFrame:
-    """Events a card shows, in order of time (Q11). Of a building, the side that lost it."""
+    """Events a card shows (Q11), which it sorts by time and ordinal. Of a building, the side that lost it."""
     kind, b = rules.timeline_kind(F.col("type"), F.col("key")), rules.building(F.col("key"))
     side = F.when(F.col("type") == "building_kill", b["is_radiant"]).otherwise(F.col("team") == 2)
     out = match_objectives.select("match_id", "ordinal", "time", rules.game_minute(F.col("time")).alias("minute"), kind.alias("kind"), side.alias("is_radiant"), F.when(F.col("type") == "building_kill", b["lane"]).alias("lane"))
-    return out.where("kind IS NOT NULL").orderBy("match_id", "time", "ordinal")
+    return out.where("kind IS NOT NULL")
 
 
 def match_card(match_id: int, tables: dict[str, DataFrame]) -> DataFrame:
@@ -177,8 +176,9 @@ def unresolved(predictions: DataFrame, matches: DataFrame, raw: DataFrame, now:
     """Predicted matches without result and without payload, over ten minutes old."""
     decided = matches.where("radiant_win IS NOT NULL").select("match_id")
     fetched = raw.where(F.col("source").isin("stratz_match", "opendota_match")).select("match_id")
-    left = predictions.join(decided, "match_id", "left_anti").join(fetched, "match_id", "left_anti")
-    return left.groupBy("match_id").agg(F.max("predicted_at").alias("last_at")).where(now.cast("timestamp").cast("double") - F.col("last_at").cast("timestamp").cast("double") > 600).select("match_id")
+    newest = predictions.groupBy("match_id").agg(F.max("predicted_at").alias("last_at"))  # one row a match before anything is joined
+    left = newest.join(decided, "match_id", "left_anti").join(fetched, "match_id", "left_anti")
+    return left.where(now.cast("timestamp").cast("double") - F.col("last_at").cast("timestamp").cast("double") > 600).select("match_id")
 
 
 def missing_details(matches: DataFrame, raw: DataFrame, source: str, limit: int, newest_first: bool = True) -> DataFrame:
