@@ -1,6 +1,7 @@
 """The live tick over files, end to end; the throttle; the paged source."""
 
 import json
+import time
 import urllib.error
 from datetime import datetime, timedelta
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tideglass import schemas
 from tideglass.sources import cursors, files, http
+from tideglass.sources.tables import KeyedTable
 from tideglass.streaming import live
 
 
@@ -37,14 +39,110 @@ def test_live_tick(spark, tmp_path):
     assert entry.team_history == 12 and entry.tier == "tier1"
 
 
+def boards(tmp_path, name, *games):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    (tmp_path / "in" / f"{name}.json").write_text("\n".join(json.dumps(g) for g in games))
+
+
+def tick(spark, tmp_path, scorer=live.baseline_scorer, **how):
+    context = spark.createDataFrame([(3, "tier1", "premium", True, "bo3")], "league_id long, tier string, valve_tier string, is_lan boolean, format string")
+    history = spark.createDataFrame([(1, 30), (2, 12)], "team_id long, maps long")
+    run = live.run_live(files.live_stream(spark, str(tmp_path / "in")), lambda: context, lambda: history, f"file://{tmp_path}/out", f"file://{tmp_path}/ck", scorer, every=None, **how)
+    try:
+        run.awaitTermination(200)
+    finally:
+        run.stop()
+
+
+def bad_scorer(wrong):
+    """Fails for a batch that holds the wrong game, as a model does that meets a value it cannot take."""
+    check = lambda rows: rows.withColumn("minute", F.when(F.col("match_id") == wrong, F.raise_error(F.lit("no such hero")).cast("double")).otherwise(F.col("minute")))
+    return lambda rows: live.baseline_scorer(check(rows))
+
+
+def test_a_game_that_cannot_be_scored_costs_no_other(spark, tmp_path):
+    boards(tmp_path, 1, *[game(k) for k in range(1, 41)])
+    tick(spark, tmp_path, bad_scorer(17))
+    (letter,) = spark.read.parquet(f"{tmp_path}/out/dead_letters").collect()
+    assert letter.match_id == 17 and "no such hero" in letter.reason and json.loads(letter.payload)["league_id"] == 3
+    assert {r.match_id for r in spark.read.parquet(f"{tmp_path}/out/predictions").collect()} == set(range(1, 41)) - {17}
+    assert live.read_feed(spark, f"file://{tmp_path}/out").count() == 39
+
+
+def test_a_scorer_that_never_works_is_an_error(spark, tmp_path):
+    def broken(rows):
+        raise ValueError("no model")
+
+    boards(tmp_path, 1, game(1), game(2))
+    with pytest.raises(Exception, match="no model"):
+        tick(spark, tmp_path, broken)
+    tick(spark, tmp_path)  # the batch is not lost
+    assert spark.read.parquet(f"{tmp_path}/out/predictions").count() == 2
+
+
+def test_feed_expires_and_its_files_do_not_add_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "FEED_SECONDS", 0)
+    table = live.feed_table(spark, f"file://{tmp_path}/out")
+    now = datetime.now()
+    entry = lambda k, at, p: (k, 3, "tier1", "premium", 0, 1, 1, 10.0, p, "m", 1, at)
+    df = lambda *rows: spark.createDataFrame(list(rows), live.FEED)
+    live.store_feed(table, df(entry(1, now, 0.5), entry(2, now - timedelta(seconds=300), 0.4)), ("s", 1), 120)
+    assert {r.match_id: r.p for r in table.read().collect()} == {1: 0.5}  # 2 is stale
+    live.store_feed(table, df(entry(1, now - timedelta(seconds=20), 0.9), entry(3, now, 0.1)), ("s", 2), 120)
+    assert {r.match_id: r.p for r in table.read().collect()} == {1: 0.5, 3: 0.1}  # a late row does not replace a newer one
+    before = table.snapshot().version
+    live.store_feed(table, df(entry(9, now, 0.5)), ("s", 2), 120)
+    assert table.snapshot().version == before  # the batch came before
+    for k in range(3, 9):
+        live.store_feed(table, df(entry(1, datetime.now(), 0.6)), ("s", k), 0)
+    assert len(table.versions()) <= 3 and len(list((tmp_path / "out/feed/data").iterdir())) <= 3 and not list((tmp_path / "out/feed/drafts").iterdir())
+    assert live.read_feed(spark, f"file://{tmp_path}/out", 0).count() == 0
+
+
+def test_unseen_leagues_are_registered_and_restarts_repeat_nothing(spark, tmp_path):
+    leagues = KeyedTable(spark, f"file://{tmp_path}/leagues", "league_id long, name string", ["league_id"], buckets=2)
+    leagues.replace(spark.createDataFrame([(3, "known")], "league_id long, name string"))
+    boards(tmp_path, 1, game(1), game(2) | {"league_id": 8}, game(5) | {"league_id": 0})
+    tick(spark, tmp_path, leagues=leagues)
+    assert sorted((r.league_id, r.name) for r in leagues.read().collect()) == [(3, "known"), (8, None)]
+    tick(spark, tmp_path, leagues=leagues)  # nothing new
+    assert spark.read.parquet(f"{tmp_path}/out/predictions").count() == 3
+    boards(tmp_path, 2, game(1), game(7))
+    tick(spark, tmp_path, leagues=leagues)
+    assert spark.read.parquet(f"{tmp_path}/out/predictions").count() == 5
+    assert {r.match_id for r in live.read_feed(spark, f"file://{tmp_path}/out").collect()} == {1, 2, 5, 7}
+
+
+def claims(spark, tmp_path, name, rows, seconds=900):
+    spark.createDataFrame(rows, "league_id long, requested_at timestamp").repartition(2).write.parquet(f"{tmp_path}/in/{name}")
+    stream = spark.readStream.schema("league_id long, requested_at timestamp").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    out = live.throttled(stream, seconds=seconds).writeStream.format("parquet").option("path", f"{tmp_path}/claims").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="1 second").start()
+    for _ in range(120):  # a query with expiring state never ends by itself
+        time.sleep(0.5)
+        if out.exception() or sum(p.numInputRows for p in out.recentProgress) >= len(rows):
+            break
+    out.stop()
+    assert out.exception() is None
+    return sorted((r.key, r.claimed_ms) for r in spark.read.schema("key long, claimed_ms long").parquet(f"{tmp_path}/claims").collect())
+
+
 def test_throttle_claims_once(spark, tmp_path):
     start = datetime(2024, 1, 1)
-    rows = [(1, start), (1, start + timedelta(seconds=10)), (1, start + timedelta(seconds=901)), (2, start)]
-    spark.createDataFrame(rows, "league_id long, requested_at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("league_id long, requested_at timestamp").parquet(f"{tmp_path}/in")
-    q = live.throttled(stream).writeStream.format("memory").queryName("claims").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(r.key for r in spark.table("claims").collect()) == [1, 1, 2]
+    ms = lambda s: int((start + timedelta(seconds=s)).timestamp() * 1000)
+    rows = [(1, start + timedelta(seconds=10)), (1, start), (1, start + timedelta(seconds=901)), (2, start), (None, start)]
+    first = claims(spark, tmp_path, "a", [r for r in rows if r[0]])
+    assert first == [(1, ms(0)), (1, ms(901)), (2, ms(0))]
+    # the claims outlive a restart: 1 is held until 1801, 2 until 900
+    again = claims(spark, tmp_path, "b", [(1, start + timedelta(seconds=1000)), (2, start + timedelta(seconds=899)), (2, start + timedelta(seconds=900)), (3, start)])
+    assert again == sorted([*first, (2, ms(900)), (3, ms(0))])
+
+
+def test_claims_expire_from_the_store(spark, tmp_path):
+    """State lives as long as a claim holds by the clock, whatever the times in the requests."""
+    start = datetime(2024, 1, 1)
+    assert len(claims(spark, tmp_path, "a", [(1, start)], seconds=1)) == 1
+    time.sleep(2)
+    assert len(claims(spark, tmp_path, "b", [(1, start)], seconds=1)) == 2  # as good as never seen
 
 
 def test_realtime_and_publish(spark):

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import rules
 from ..operators.normalize import live_standing
 from ..operators.prematch import LIVE_BLOCK, live_block, with_block
 from ..operators.snapshots import FEATURES, features, snapshots_live
+from ..operators.upserts import latest_per_key
+from ..session import checkpointed
+from ..sources.tables import KeyedTable
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -61,40 +68,93 @@ def with_live_block(games: DataFrame, scored_input: DataFrame, player_ratings: D
     return with_block(scored_input, live_block(snapshots_live(games).select("match_id", "radiant_accounts", "dire_accounts"), player_ratings), LIVE_BLOCK)
 
 
+def each_that_works(games: DataFrame, run: Callable[[DataFrame], DataFrame], key: str = "match_id") -> tuple[list[DataFrame], list[tuple[DataFrame, str]]]:
+    """(stored results, games that failed with what was raised): one failing game costs no other.
+
+    ``run`` goes over all games at once; where that fails, over halves of them by key, down to single
+    ones. Where not one of several games works, the fault is not theirs and is raised.
+    """
+
+    def halves(part: DataFrame) -> tuple[list, list]:
+        try:
+            return [checkpointed(run(part))], []
+        except Exception as e:  # noqa: BLE001  whatever a scorer or a payload raises
+            keys = sorted(r[0] for r in part.select(key).distinct().collect())  # a tick's games, or fewer
+            if len(keys) == 1:
+                return [], [(part, f"{type(e).__name__}: {e}"[:500])]
+            middle = F.lit(keys[len(keys) // 2])
+            sides = [halves(part.where(c)) for c in (F.col(key) < middle, F.col(key) >= middle)]
+            made, failed = sides[0][0] + sides[1][0], sides[0][1] + sides[1][1]
+            if not made:
+                raise
+            return made, failed
+
+    return halves(games)
+
+
+#: Entries of the feed: what a live board shows of a game.
+FEED = "match_id long, league_id long, tier string, valve_tier string, stream_delay_s int, radiant_maps long, dire_maps long, minute double, p double, model_version string, team_history long, captured_at timestamp"
+#: Seconds that an entry lives, and that a claim holds.
+FEED_SECONDS, CLAIM_SECONDS = 120, 900
+
+
+def feed_table(spark: SparkSession, out: str) -> KeyedTable:
+    return KeyedTable(spark, f"{out}/feed", FEED, ["match_id"], buckets=1)
+
+
+def store_feed(table: KeyedTable, entries: DataFrame, batch: tuple[str, int] | None = None, ttl_seconds: int = FEED_SECONDS) -> None:
+    """The newest entry of each game replaces its last one; stale ones and old versions go, so that neither rows nor files add up.
+
+    An entry that comes late, with an older time than the stored one, does not replace it.
+    """
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        newest = latest_per_key(old.unionByName(new), ["match_id"], F.col("captured_at").desc())
+        return live_feed(newest, ttl_seconds)
+
+    everything = table.spark.range(1).select(F.col("id").alias("match_id"))  # the one bucket
+    table.commit(entries.select(*[c.split()[0] for c in FEED.split(", ")]), merge, batch=batch, touching=everything)
+    table.vacuum(keep=3, older_than=ttl_seconds)
+
+
 def run_live(
     games: DataFrame, context: Callable[[], DataFrame], history: Callable[[], DataFrame], out: str, checkpoint: str, scorer: Scorer = baseline_scorer, every: str | None = "30 seconds",
-    player_ratings: Callable[[], DataFrame] | None = None,
+    player_ratings: Callable[[], DataFrame] | None = None, leagues: KeyedTable | None = None,
 ) -> StreamingQuery:
-    """Every tick: raw boards first, then predictions and the feed, each batch in a folder of its own.
+    """Every tick: raw boards first, then predictions, then the feed.
 
-    A batch that comes again overwrites its own folders and no other's, so a restart repeats
-    nothing and readers of the feed never meet a half one (R01, R02, R05). Games that cannot be
-    scored go to ``dead_letters``.
+    Raw boards, predictions and dead letters of a batch have a folder of its own, which a repeated
+    batch overwrites; the feed is one small table, committed last. Games that cannot be scored, by
+    their shape or because scoring them fails, go to ``dead_letters`` with the reason. leagues: a
+    table of leagues (league_id first in its keys) in which unseen ones are registered.
     """
+    name = checkpoint.rstrip("/").split("/")[-1]
 
     def tick(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         batch.select("match_id", F.current_timestamp().alias("captured_at"), F.to_json(F.struct("*")).alias("payload")).write.mode("overwrite").parquet(f"{out}/raw/batch={batch_id}")
+        if leagues is not None:
+            leagues.insert_absent(batch.where("league_id > 0").select("league_id").distinct())
         good, bad = split_games(batch)
-        bad.select("match_id", "reason", F.to_json(F.struct("*")).alias("payload")).write.mode("overwrite").parquet(f"{out}/dead_letters/batch={batch_id}")
-        scored = score_games(good, context(), history(), scorer, player_ratings() if player_ratings else None).persist()
+        made, failed = each_that_works(good, lambda g: score_games(g, context(), history(), scorer, player_ratings() if player_ratings else None))
+        letter = lambda df: df.select("match_id", "reason", F.to_json(F.struct("*")).alias("payload"))
+        letters = [letter(bad), *[letter(g.withColumn("reason", F.lit(e))) for g, e in failed]]
+        reduce(DataFrame.unionByName, letters).write.mode("overwrite").parquet(f"{out}/dead_letters/batch={batch_id}")
+        scored = reduce(DataFrame.unionByName, made)
         prediction_rows(scored).write.mode("overwrite").parquet(f"{out}/predictions/batch={batch_id}")
-        scored.drop(*[f for f in FEATURES if f not in ("minute",)]).withColumn("captured_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/feed/batch={batch_id}")
-        scored.unpersist()
+        store_feed(feed_table(batch.sparkSession, out), scored.withColumn("captured_at", F.current_timestamp()), (name, batch_id))
         batch.unpersist()
 
     writer = games.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def read_feed(spark: SparkSession, out: str, ttl_seconds: int = 120) -> DataFrame:
-    """The entries of the newest tick that are not yet stale (K17, H49); earlier ticks' folders are pruned by batch."""
-    feed = spark.read.parquet(f"{out}/feed")
-    newest = feed.agg(F.max("batch").alias("newest"))  # one row
-    return live_feed(feed.join(F.broadcast(newest), F.col("batch") == F.col("newest")).drop("newest"), ttl_seconds)
+def read_feed(spark: SparkSession, out: str, ttl_seconds: int = FEED_SECONDS) -> DataFrame:
+    """The entries of the last tick's version that are not yet stale."""
+    return live_feed(feed_table(spark, out).read(), ttl_seconds)
 
 
-def live_feed(feed: DataFrame, ttl_seconds: int = 120) -> DataFrame:
+def live_feed(feed: DataFrame, ttl_seconds: int = FEED_SECONDS) -> DataFrame:
     """Entries that are not yet stale."""
     return feed.where(F.col("captured_at") > F.current_timestamp() - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
 
@@ -109,32 +169,44 @@ def finished(predictions: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return predictions.withWatermark("predicted_at", gap).groupBy("match_id", F.session_window("predicted_at", gap)).agg(F.count(F.lit(1)).alias("n")).select("match_id", "session_window.start", "session_window.end", "n")
 
 
-def throttled(requests: DataFrame, key: str = "league_id", seconds: int = 900) -> DataFrame:
+class _Claims(StatefulProcessor):
+    """One claim a key and, within it, one request: until when, kept as a value that expires by itself."""
+
+    def __init__(self, seconds: int):
+        self.milliseconds = seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.until = handle.getValueState("until", _UNTIL, self.milliseconds)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        at = np.sort(np.concatenate([f["requested_at"].astype("datetime64[ms]").astype(np.int64).to_numpy() for f in rows]))  # all frames, so that the first request claims
+        held = self.until.get()
+        until, claims = held[0] if held else -1, []
+        k = int(np.searchsorted(at, until))
+        while k < len(at):
+            claims.append(int(at[k]))
+            until = claims[-1] + self.milliseconds
+            k = int(np.searchsorted(at, until))
+        if claims:
+            self.until.update((until,))
+            yield pd.DataFrame({"key": [key[0]] * len(claims), "claimed_ms": claims})
+
+    def close(self) -> None:
+        pass
+
+
+_UNTIL = StructType([StructField("until", LongType())])
+
+
+def throttled(requests: DataFrame, key: str = "league_id", seconds: int = CLAIM_SECONDS) -> DataFrame:
     """At most one request a key in ``seconds``: the first claims it, later ones fall.
 
-    requests: a stream with ``key`` (long) and requested_at. A key's claim is dropped from the state
-    store when it has run out and no request came for ``seconds``, so state does not grow with keys
-    ever seen.
+    requests: a stream with ``key`` (long) and requested_at. The key is the job's id, so at most one
+    request of a job is queued. A claim expires from the state store ``seconds`` after it was made;
+    the session needs the RocksDB state store (``session.build_session`` sets it).
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def claim(k, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        until = state.get[0] if state.exists else -1
-        for f in frames:
-            for at in sorted(int(t.timestamp() * 1000) for t in f["requested_at"]):
-                if at >= until:
-                    until = at + seconds * 1000
-                    yield pd.DataFrame({"key": [k[0]], "claimed_ms": [at]})
-        if until >= 0:
-            state.update((until,))
-            state.setTimeoutDuration(seconds * 1000)
-
-    keyed = requests.select(F.col(key).alias("key"), "requested_at")
-    return keyed.groupBy("key").applyInPandasWithState(claim, "key long, claimed_ms long", "until long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = requests.where(F.col("requested_at").isNotNull()).select(F.col(key).alias("key"), F.col("requested_at").cast("timestamp").alias("requested_at"))
+    return keyed.groupBy("key").transformWithStateInPandas(_Claims(seconds), "key long, claimed_ms long", "append", "ProcessingTime")
 
 
 def publish(scored: DataFrame) -> DataFrame:
