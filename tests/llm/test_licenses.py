@@ -1,8 +1,6 @@
 import random
 import re
 
-import pytest
-
 from tideglass.llm import licenses as L
 
 FILLER = [f"v{i}" for i in range(500)]
@@ -76,8 +74,12 @@ def test_templates_of_hundreds_of_words(spark):
     assert L.license_notices(docs, table.limit(0)).count() == 0
 
 
-def test_too_many_templates_are_refused(spark):
-    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
-    table = spark.createDataFrame([("a", "w " * (L.MAX_TEMPLATE_WORDS + 1))], "license string, text string")
-    with pytest.raises(ValueError):
-        L.license_notices(docs, table)
+def test_templates_beyond_one_plan_are_scanned_for_in_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    templates = {f"t{n}": prose(rng, n) for n in (6, 7, 9, 12, 40)}
+    texts = [prose(rng, 20) + " " + t + " " + prose(rng, 20) for t in templates.values()] + [" ".join(templates.values())]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(templates.items()), "license string, text string")
+    monkeypatch.setattr(L, "MAX_TEMPLATE_WORDS", 20)  # four blocks, one of a template that is longer
+    assert len(list(L._template_blocks(table))) == 4
+    assert {(r.doc_id, r.license, r.n_shared) for r in L.license_notices(docs, table).collect()} == brute(texts, templates)

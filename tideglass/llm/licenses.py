@@ -16,7 +16,7 @@ A notice in a text is found by the template it follows:
    themselves.
 
 Templates are a table (license, text): whole license texts or single notices. It becomes part of
-the plan, so it is refused beyond ``MAX_TEMPLATE_WORDS`` words in all. ``TEMPLATES`` is a small
+the plan, so templates of over ``MAX_TEMPLATE_WORDS`` words in all are taken in blocks, one pass over the texts each. ``TEMPLATES`` is a small
 one of notices.
 
 Defined results: a null or empty text has no notice; a text of under 5 words has no shingle, and
@@ -29,7 +29,8 @@ doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ BANDS = 24
 TINY = 4
 #: Shingles in the smallest block; a window is three blocks.
 BLOCK = 4
-#: Words of all templates together, which the plan holds.
+#: Words of the templates that one plan holds; more are scanned for in blocks, one pass over the texts each.
 MAX_TEMPLATE_WORDS = 200_000
 
 # Public license notices as they stand in texts.
@@ -106,18 +107,29 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "license string, text string")
 
 
-def _template_index(templates: DataFrame) -> dict[str, tuple[list[str], list[int]]]:
-    """name: (5-grams, their hashes by Spark's own function)."""
+def _template_blocks(templates: DataFrame) -> Iterator[dict[str, tuple[list[str], list[int]]]]:
+    """Blocks of templates, each name: (5-grams, their hashes by Spark's own function).
+
+    A block has up to ``MAX_TEMPLATE_WORDS`` words, or one template; the driver holds the names and one block.
+    """
     named = templates.where("license IS NOT NULL AND text IS NOT NULL").select(F.col("license").alias("name"), normal_words(F.col("text")).alias("words"))
-    total = named.agg(F.sum(F.size("words"))).first()[0] or 0
-    if total > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have {total} words; the bound is {MAX_TEMPLATE_WORDS}")
-    grams = named.select("name", "words", F.posexplode(gram_strings(F.col("words"))).alias("i", "gram"))
-    hashed = grams.select("name", "gram", _gram_hash(lambda k: F.get("words", F.col("i") + k)).alias("hash")).collect()  # bounded by the words
-    found: dict[str, dict[str, int]] = {}
-    for r in sorted(hashed):
-        found.setdefault(r["name"], {})[r["gram"]] = r["hash"]
-    return {name: (list(g), list(g.values())) for name, g in found.items()}
+    sizes = sorted((r["name"], r["n"]) for r in named.groupBy("name").agg(F.sum(F.size("words")).alias("n")).collect())
+    blocks: list[list[str]] = []
+    room = 0
+    for name, n in sizes:
+        if n > room:
+            blocks.append([])
+            room = max(MAX_TEMPLATE_WORDS, n)
+        blocks[-1].append(name)
+        room -= n
+    for names in blocks:
+        grams = named.where(F.col("name").isin(names)).select("name", "words", F.posexplode(gram_strings(F.col("words"))).alias("i", "gram"))
+        hashed = grams.select("name", "gram", _gram_hash(lambda k: F.get("words", F.col("i") + k)).alias("hash")).collect()  # bounded by the words
+        found: dict[str, dict[str, int]] = {}
+        for r in sorted(hashed):
+            found.setdefault(r["name"], {})[r["gram"]] = r["hash"]
+        if found:
+            yield {name: (list(g), list(g.values())) for name, g in found.items()}
 
 
 def _least_shingles(hashes: list[int]) -> list[int]:
@@ -162,11 +174,15 @@ _NOTICES = "doc_id long, license string, n_shared long, n_template long, contain
 def license_notices(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, n_shared, n_template, containment, first_word of every notice found.
 
-    templates: license, text; the built-in ones if not given.
+    templates: license, text; the built-in ones if not given. Rows of one name are one template.
     """
-    index = _template_index(template_table(docs.sparkSession) if templates is None else templates)
-    if not index:
-        return docs.sparkSession.createDataFrame([], _NOTICES)
+    blocks = _template_blocks(template_table(docs.sparkSession) if templates is None else templates)
+    parts = [_notices_of(docs, index, threshold) for index in blocks]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _NOTICES)
+
+
+def _notices_of(docs: DataFrame, index: dict[str, tuple[list[str], list[int]]], threshold: float) -> DataFrame:
+    """The notices of one block of templates."""
     by_class: dict[int, list[str]] = {}
     for name, (grams, _) in index.items():
         by_class.setdefault(class_of(len(grams)), []).append(name)
