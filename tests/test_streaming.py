@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass import schemas
+from tideglass.operators import normalize
 from tideglass.sources import cursors, files, http
 from tideglass.sources.tables import KeyedTable
 from tideglass.streaming import live
@@ -69,6 +70,31 @@ def test_a_game_that_cannot_be_scored_costs_no_other(spark, tmp_path):
     assert live.read_feed(spark, f"file://{tmp_path}/out").count() == 39
 
 
+def test_boards_that_are_no_boards_are_dead_letters(spark, tmp_path):
+    """One field of another type, broken text, a list: each its own letter with the reason, and 97 predictions."""
+    boards(tmp_path, 1, *[game(k) for k in range(1, 98)], game(98) | {"league_id": "three"}, [game(99)])
+    (tmp_path / "in" / "2.json").write_text('{"match_id": 100, "scoreb')
+    context = spark.createDataFrame([(3, "tier1", "premium", True, "bo3")], "league_id long, tier string, valve_tier string, is_lan boolean, format string")
+    history = spark.createDataFrame([(1, 30), (2, 12)], "team_id long, maps long")
+    run = live.run_live(files.live_lines(spark, f"file://{tmp_path}/in"), lambda: context, lambda: history, f"file://{tmp_path}/out", f"file://{tmp_path}/ck", every=None)
+    run.awaitTermination(200)
+    assert run.exception() is None
+    letters = {(r.match_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out/dead_letters").collect()}
+    assert letters == {(98, "field of another type: league_id"), (None, "no JSON object"), (None, "malformed JSON")}
+    assert {r.match_id for r in spark.read.parquet(f"{tmp_path}/out/predictions").collect()} == set(range(1, 98))
+
+
+def test_payloads_are_checked_field_by_field(spark):
+    rows = ['{"match_id": 1, "players": [{"account_id": 2}]}', '{"id": "7", "players": null}', '{"match_id": 3, "players": [{"account_id": "x"}]}', '{"match_id": "nine"}', "[1]", "", None, "{", '{"match_id": 1, "other": [1, "a"]}', '"text"']
+    df = spark.createDataFrame([(r, "x") for r in rows], "payload string, reason string")
+    good, bad = normalize.parse_checked(df, "match_id long, id string, players array<struct<account_id:long>>")
+    assert sorted((r.match_id, r.id) for r in good.collect() if r.match_id) == [(1, None), (1, None)] and good.count() == 3
+    got = {(r.payload, r.match_id): r.reason for r in bad.collect()}
+    assert got == {(rows[2], 3): "field of another type: nested", (rows[3], None): "field of another type: match_id", ("[1]", None): "no JSON object", ("", None): "malformed JSON", (None, None): "no payload", ("{", None): "malformed JSON", ('"text"', None): "no JSON object"}
+    ids = spark.createDataFrame([(r,) for r in rows], "p string").select(normalize.match_id_of(F.col("p")).alias("i"))
+    assert [r.i for r in ids.collect()] == [1, 7, 3, None, None, None, None, None, 1, None]
+
+
 def test_a_scorer_that_never_works_is_an_error(spark, tmp_path):
     def broken(rows):
         raise ValueError("no model")

@@ -1,9 +1,12 @@
 """Name scores and HTML lists, which no SQL expresses, against plain Python over whole small tables."""
 
+import random
 import re
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
+from pyspark.sql import functions as F
+
 from tideglass.functions import text
 from tideglass.plans import catalog
 
@@ -83,3 +86,19 @@ def test_bullets_of_pages(spark):
         elif p.html is not None:
             assert got[p.page_id] == len(p.html)
     assert same >= 0.95 * lists, (same, lists)
+
+
+def test_ratio_bound_is_the_matchers_own(spark):
+    rng = random.Random(6)
+    names = ["", "a", "team spirit", "spirit team"] + ["".join(rng.choice("abcde é") for _ in range(rng.randrange(14))) for _ in range(40)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(400)] + [(None, "a"), ("a", None), ("", "")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.ratio_bound(F.col("a"), F.col("b")).alias("bound"), text.same_team(F.col("a"), F.col("b")).alias("same")).collect()
+    for r in rows:
+        if r.a is None or r.b is None:
+            assert r.bound is None and r.same is None
+            continue
+        m = SequenceMatcher(None, r.a, r.b)
+        assert abs(r.bound - m.quick_ratio()) < 1e-12 and r.bound >= m.ratio()
+        if r.a and r.b:
+            assert r.same == (m.ratio() >= text.SAME_TEAM)
+            assert text._is_near(r.a, r.b) == r.same

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 from ..functions import rules
@@ -15,6 +16,32 @@ def parse(raw: DataFrame, ddl: str, payload: str = "payload") -> DataFrame:
     return raw.select(F.from_json(payload, ddl).alias("p")).select("p.*")
 
 
+def match_id_of(payload: Column) -> Column:
+    """The id of either dialect, as a number or as text of one; null where there is none."""
+    v = F.try_parse_json(payload)
+    return F.coalesce(F.try_variant_get(v, "$.match_id", "long"), F.try_variant_get(v, "$.id", "long"))
+
+
+def parse_checked(raw: DataFrame, ddl: str, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(rows of the declared schema, the payloads that do not fit it: match_id, payload, reason).
+
+    A payload fits if it is a JSON object whose known fields have their types; null and absent fields
+    fit. One field of another type costs its own payload, with the field's name as the reason, and no other.
+    """
+    schema = StructType.fromDDL(ddl)
+    text, v = F.col(payload), F.try_parse_json(payload)
+    parsed = F.from_json(text, StructType([*schema.fields, StructField("_corrupt", StringType())]), {"columnNameOfCorruptRecord": "_corrupt"})
+    present = lambda f: F.try_variant_get(v, f"$.{f.name}", "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, f"$.{f.name}", "variant"))
+    wrong = F.concat_ws(", ", *[F.when(present(f) & F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).isNull(), f.name) for f in schema.fields])
+    reason = (
+        F.when(text.isNull(), "no payload").when(v.isNull(), "malformed JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "no JSON object")
+        .when(parsed["_corrupt"].isNotNull(), F.concat(F.lit("field of another type: "), F.when(wrong == "", "nested").otherwise(wrong)))
+    )
+    marked = raw.select(text.alias("_payload"), parsed.alias("_p"), reason.alias("_reason"))
+    bad = marked.where("_reason IS NOT NULL").select(match_id_of(F.col("_payload")).alias("match_id"), F.col("_payload").alias("payload"), F.col("_reason").alias("reason"))
+    return marked.where("_reason IS NULL").select("_p.*").drop("_corrupt"), bad
+
+
 def from_summaries(s: DataFrame) -> dict[str, DataFrame]:
     """leagues, teams, series and matches of summaries (schemas.SUMMARY; P01).
 

@@ -40,3 +40,8 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 def live_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Captured live boards as a stream."""
     return spark.readStream.schema(schemas.LIVE).option("maxFilesPerTrigger", max_files).json(path)
+
+
+def live_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """Captured live boards as a stream of text, for ticks that name what is wrong with a board."""
+    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(F.col("value").alias("payload"))

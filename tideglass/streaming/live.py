@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .. import schemas
 from ..functions import rules
-from ..operators.normalize import live_standing
+from ..operators.normalize import live_standing, parse_checked
 from ..operators.prematch import LIVE_BLOCK, live_block, with_block
 from ..operators.snapshots import FEATURES, features, snapshots_live
 from ..operators.upserts import latest_per_key
@@ -124,13 +125,18 @@ def run_live(
     """Every tick: raw boards first, then predictions, then the feed.
 
     Raw boards, predictions and dead letters of a batch have a folder of its own, which a repeated
-    batch overwrites; the feed is one small table, committed last. Games that cannot be scored, by
+    batch overwrites; the feed is one small table, committed last. games: parsed boards, or their texts
+    as one column payload, of which those that are no boards become dead letters by themselves. Games that cannot be scored, by
     their shape or because scoring them fails, go to ``dead_letters`` with the reason. leagues: a
     table of leagues (league_id first in its keys) in which unseen ones are registered.
     """
     name = checkpoint.rstrip("/").split("/")[-1]
 
     def tick(batch: DataFrame, batch_id: int) -> None:
+        if batch.columns == ["payload"]:
+            batch, misshapen = parse_checked(batch.persist(), schemas.LIVE)
+        else:
+            misshapen = None
         batch = batch.persist()
         batch.select("match_id", F.current_timestamp().alias("captured_at"), F.to_json(F.struct("*")).alias("payload")).write.mode("overwrite").parquet(f"{out}/raw/batch={batch_id}")
         if leagues is not None:
@@ -138,7 +144,8 @@ def run_live(
         good, bad = split_games(batch)
         made, failed = each_that_works(good, lambda g: score_games(g, context(), history(), scorer, player_ratings() if player_ratings else None))
         letter = lambda df: df.select("match_id", "reason", F.to_json(F.struct("*")).alias("payload"))
-        letters = [letter(bad), *[letter(g.withColumn("reason", F.lit(e))) for g, e in failed]]
+        letters = [] if misshapen is None else [misshapen.select("match_id", "reason", "payload")]
+        letters += [letter(bad), *[letter(g.withColumn("reason", F.lit(e))) for g, e in failed]]
         reduce(DataFrame.unionByName, letters).write.mode("overwrite").parquet(f"{out}/dead_letters/batch={batch_id}")
         scored = reduce(DataFrame.unionByName, made)
         prediction_rows(scored).write.mode("overwrite").parquet(f"{out}/predictions/batch={batch_id}")
