@@ -40,14 +40,17 @@ def q06_calibration_error(spark, sf_dir):
 
 
 def q03_versions(spark, sf_dir):
+    """Versions by scored rows."""
     return rm.versions(_scored(spark, sf_dir)).select("model_version", "n")
 
 
 def q04_serving_progress(spark, sf_dir):
+    """Matches and span of time by version."""
     return rm.serving_progress(v.predictions(spark, sf_dir))
 
 
 def q05_segment_counts(spark, sf_dir):
+    """Matches by version and segment, all segments there."""
     return rm.segment_counts(v.predictions(spark, sf_dir), v.leagues(spark, sf_dir))
 
 
@@ -96,7 +99,7 @@ def w03_draft_advantage(spark, sf_dir):
 
 
 def w13_ratings(spark, sf_dir):
-    """Rating fold over decided maps with five known accounts a side (W13-W17, H11): each component in its own task."""
+    """Rating fold over decided maps with five known accounts a side (W13-W17, H11): by dependency levels."""
     maps, _ = prematch.swept_maps(v.matches(spark, sf_dir), payload_queries.players(spark, sf_dir))
     return ratings.ratings_before(maps)
 
