@@ -124,8 +124,9 @@ def _struct(ddl: str) -> str:
 
 
 def pro_players(payload: DataFrame) -> DataFrame:
-    """Professional players from one array; the first entry of an account counts."""
-    p = payload.select(F.posexplode(F.from_json("payload", f"array<struct<{_struct(schemas.PRO_PLAYER)}>>")).alias("pos", "p")).select("pos", "p.*")
+    """Professional players from an array, or several with their page number; the first entry of an account counts."""
+    page = F.col("page").cast("long") if "page" in payload.columns else F.lit(0).cast("long")
+    p = payload.select(page.alias("page"), F.posexplode(F.from_json("payload", f"array<struct<{_struct(schemas.PRO_PLAYER)}>>")).alias("at", "p")).select(F.struct("page", "at").alias("pos"), "p.*")
     named = p.where(F.coalesce("account_id", F.lit(0)) != 0).select("account_id", "pos", F.coalesce(F.nullif("name", F.lit("")), F.nullif("personaname", F.lit(""))).alias("name"), F.nullif("loccountrycode", F.lit("")).alias("country"), "fantasy_role")
     return latest_per_key(named, ["account_id"], F.col("pos")).drop("pos")
 

@@ -118,16 +118,16 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """One payload each of heroes (an object by id), professional players and leagues (arrays)."""
+    """One payload each of heroes (an object by id) and leagues (an array), and professional players in pages of a thousand."""
     n, k = v.read(spark, sf_dir, "nation"), F.col("n_nationkey").cast("int")
     hero = F.struct(k.alias("id"), F.when(k % 7 > 0, F.concat(F.lit("npc_"), F.lower("n_name"))).otherwise("").alias("name"), F.when(k % 3 > 0, F.col("n_name")).otherwise("").alias("localized_name"), F.lit("agi").alias("primary_attr"))
     league = F.struct(k.cast("long").alias("leagueid"), F.col("n_name").alias("name"), _one_of(("professional", "premium", "excluded", "amateur", "mystery"), _mod(k, 5)).alias("tier"))
     a = F.col("s_suppkey") % 60  # accounts repeat: the first entry counts
     pro = F.struct(F.col("s_suppkey").alias("place"), a.alias("account_id"), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("n"), F.col("s_suppkey").cast("string"))).otherwise("").alias("name"), F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("personaname"), F.when(a % 2 == 0, "xx").otherwise("").alias("loccountrycode"), _mod(a, 3).alias("fantasy_role"))
-    whole = lambda df, c: df.agg(F.to_json(F.array_sort(F.collect_list(c))).alias("payload"))  # noqa: E731  reference tables: nations and suppliers
+    whole = lambda df, c: df.agg(F.to_json(F.array_sort(F.collect_list(c))).alias("payload"))  # noqa: E731  reference tables of nations
     return {
         "heroes": n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(k.cast("string"), hero)))).alias("payload")),
-        "leagues": whole(n, league), "pro_players": whole(v.read(spark, sf_dir, "supplier"), pro),
+        "leagues": whole(n, league), "pro_players": v.read(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 1000).alias("page")).agg(F.to_json(F.array_sort(F.collect_list(pro))).alias("payload")),
     }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import upserts
+from ..operators import normalize, upserts
 from ..session import checkpointed
 from .tables import KeyedTable, Snapshot
 
@@ -96,3 +96,18 @@ def fetch_details(table: KeyedTable, source: str, ids: list[int], url: str, **op
     rows = checkpointed(table.spark.read.format("json_api").options(url=url, ids=",".join(map(str, ids)), **options).load())
     table.replace(_raw(rows, source))
     return {r["status"]: r["count"] for r in rows.groupBy("status").count().collect()}
+
+
+def refresh_heroes(table: KeyedTable, payload: DataFrame) -> Snapshot:
+    """Heroes of a payload into their table; columns that it does not state stay."""
+    return table.supply(normalize.heroes(payload))
+
+
+def refresh_pro_players(table: KeyedTable, payload: DataFrame) -> Snapshot:
+    """Names and countries of professional players."""
+    return table.supply(normalize.pro_players(payload))
+
+
+def refresh_leagues(table: KeyedTable, payload: DataFrame) -> Snapshot:
+    """Names and tiers of leagues; a tier that is not known any more clears the old one."""
+    return table.supply(normalize.leagues(payload))
