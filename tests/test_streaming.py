@@ -139,6 +139,18 @@ def test_unseen_leagues_are_registered_and_restarts_repeat_nothing(spark, tmp_pa
     assert {r.match_id for r in live.read_feed(spark, f"file://{tmp_path}/out").collect()} == {1, 2, 5, 7}
 
 
+def test_a_new_checkpoint_is_a_new_run(spark, tmp_path):
+    """Batch numbers that start again do not pass for batches that were stored before."""
+    boards(tmp_path, 1, game(1))
+    tick(spark, tmp_path)
+    (tmp_path / "ck").rename(tmp_path / "gone")
+    boards(tmp_path, 2, game(2))
+    tick(spark, tmp_path)
+    assert {r.match_id for r in live.read_feed(spark, f"file://{tmp_path}/out").collect()} == {1, 2}
+    marks = live.feed_table(spark, f"file://{tmp_path}/out").snapshot().batches
+    assert len(marks) == 2 and all(len(k) == 36 for k in marks)
+
+
 def claims(spark, tmp_path, name, rows, seconds=900):
     spark.createDataFrame(rows, "league_id long, requested_at timestamp").repartition(2).write.parquet(f"{tmp_path}/in/{name}")
     stream = spark.readStream.schema("league_id long, requested_at timestamp").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import normalize, upserts
 from ..session import checkpointed
-from .tables import KeyedTable, Snapshot
+from .tables import KeyedTable, Snapshot, query_id
 
 RAW = "match_id long, source string, fetched_at timestamp, payload string"
 
@@ -60,12 +60,9 @@ def backfill(table: KeyedTable, source: str, url: str, cursor: str, checkpoint:
     if least is not None:
         options |= {"start": str(least), "most": str(most)}
     pages = spark.readStream.format("json_api").options(url=url, cursor=cursor, **options).load()
-    run: list[str] = []
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        if not run:
-            run.append(batch.sparkSession._jsc.sc().getLocalProperty("sql.streaming.queryId") or checkpoint)
-        _store(table, batch, source, (f"{source}:{run[0]}", batch_id))
+        _store(table, batch, source, (f"{source}:{query_id(batch, checkpoint)}", batch_id))
 
     writer = pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

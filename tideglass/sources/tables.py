@@ -24,6 +24,11 @@ from pyspark.sql import functions as F
 from ..operators import upserts
 from ..session import checkpointed
 
+def query_id(batch: DataFrame, otherwise: str) -> str:
+    """The id of the streaming query whose ``foreachBatch`` runs: kept by its checkpoint, new with a new one."""
+    return batch.sparkSession.sparkContext._jsc.sc().getLocalProperty("sql.streaming.queryId") or otherwise
+
+
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 ATTEMPTS = 20
 
@@ -43,7 +48,7 @@ class Conflict(RuntimeError):
 
 
 class KeyedTable:
-    """keys: the columns that tell rows apart; bucket_by: those that choose the bucket, keys of a parent for its children.
+    """keys: the columns that tell rows apart, without nulls; bucket_by: those that choose the bucket, keys of a parent for its children.
 
     Choose ``buckets`` so that one bucket is one task's work; it is fixed for the life of the table.
     """

@@ -19,7 +19,7 @@ from ..operators.prematch import LIVE_BLOCK, live_block, with_block
 from ..operators.snapshots import FEATURES, features, snapshots_live
 from ..operators.upserts import latest_per_key
 from ..session import checkpointed
-from ..sources.tables import KeyedTable
+from ..sources.tables import KeyedTable, query_id
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -130,8 +130,6 @@ def run_live(
     their shape or because scoring them fails, go to ``dead_letters`` with the reason. leagues: a
     table of leagues (league_id first in its keys) in which unseen ones are registered.
     """
-    name = checkpoint.rstrip("/").split("/")[-1]
-
     def tick(batch: DataFrame, batch_id: int) -> None:
         if batch.columns == ["payload"]:
             batch, misshapen = parse_checked(batch.persist(), schemas.LIVE)
@@ -149,7 +147,7 @@ def run_live(
         reduce(DataFrame.unionByName, letters).write.mode("overwrite").parquet(f"{out}/dead_letters/batch={batch_id}")
         scored = reduce(DataFrame.unionByName, made)
         prediction_rows(scored).write.mode("overwrite").parquet(f"{out}/predictions/batch={batch_id}")
-        store_feed(feed_table(batch.sparkSession, out), scored.withColumn("captured_at", F.current_timestamp()), (name, batch_id))
+        store_feed(feed_table(batch.sparkSession, out), scored.withColumn("captured_at", F.current_timestamp()), (query_id(batch, checkpoint), batch_id))
         batch.unpersist()
 
     writer = games.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
