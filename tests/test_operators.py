@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideglass import schemas
 from tideglass.functions import rules, text
-from tideglass.operators import matching, metrics, models, normalize, outcomes, ratings, snapshots, upserts
+from tideglass.operators import history, matching, metrics, models, normalize, outcomes, ratings, snapshots, upserts
 from tideglass.plans import readmodels
 
 
@@ -300,3 +300,18 @@ def test_wiki_sync_applies_what_is_certain(spark):
     stored = spark.createDataFrame([(9, 4, "Playoffs", "playoff", "bo1", None, "Known/1", None, None), (8, 4, "Gone", "group", "bo1", None, "Known/1", None, None)], schemas.TABLES["tournament_stages"])
     got = {r.name: (r.default_format, str(r.starts_at)[:10]) for r in matching.refresh_stages(leagues, matches, pages, stored).collect()}
     assert got == {"Gone": ("bo1", "None"), "Group Stage": ("bo2", "2026-08-13"), "Playoffs": ("bo3", "2026-08-20")}
+
+
+def test_as_of_with_one_hot_key_equals_a_plain_search(spark):
+    """One key holds most rows over many days, some without any; times differ, so there is one newest row."""
+    rng, start = random.Random(12), datetime(2024, 1, 1)
+    times = rng.sample(range(40 * 86400), 900)
+    rows = [(1 if rng.random() < 0.9 else rng.randrange(2, 6), start + timedelta(seconds=t), i) for i, t in enumerate(times)]
+    left = spark.createDataFrame([(i, k, t) for k, t, i in rows if i % 3 == 0] + [(-1, 1, None), (-2, None, start)], "id long, k long, at timestamp")
+    right = spark.createDataFrame([(k, t, i, None if i % 7 == 0 else f"v{i}") for k, t, i in rows if i % 3 and not t.day % 5 == 0], "k long, ts timestamp, value long, name string")
+    got = {r.id: (r.value, r.name) for r in history.as_of(left.repartition(3), right.repartition(3), "k", "at", "ts", ["value", "name"]).collect()}
+    known = [r for r in right.collect()]
+    for i, k, t in [tuple(x) for x in left.collect()]:
+        before = [r for r in known if t is not None and r.k == k and r.ts <= t]
+        newest = max(before, key=lambda r: r.ts, default=None)
+        assert got[i] == ((newest.value, newest["name"]) if newest else (None, None))

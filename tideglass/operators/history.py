@@ -127,21 +127,21 @@ def series_scores(matches: DataFrame, series: DataFrame) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """``left`` with the ``values`` of the newest row of ``right`` at or before its time.
 
-    Both tables meet in one shuffle by (key, hour); a running last value needs no join at all. What an
-    hour inherits is the last value of the key's earlier hours, found over one row an hour and laid
-    before the hour's own rows. So a key that holds most rows is as many tasks' work as it has hours.
+    Both tables meet in one shuffle by (key, day); a running last value needs no join at all. What a
+    day inherits is the last value of the key's earlier days, found over one row a day and laid
+    before the day's own rows. So a key that holds most rows is as many tasks' work as it has days.
     """
-    hour = lambda c: F.date_trunc("hour", F.col(c).cast("timestamp")).alias("_hour")
+    day = lambda c: F.date_trunc("day", F.col(c).cast("timestamp")).alias("_day")
     value = _struct(right, values)
     none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c != key]
-    l = left.select(*left.columns, F.col(left_time).alias("_t"), hour(left_time), F.lit(1).alias("_side"), F.lit(None).cast(value).alias("_v"))  # noqa: E741
-    r = right.select(key, *none, F.col(right_time).alias("_t"), hour(right_time), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    hours = l.select(key, "_hour", "_t", "_v").unionByName(r.select(key, "_hour", "_t", "_v"))
-    hours = hours.groupBy(key, "_hour").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t"))).alias("_last"))
-    earlier = F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
-    carried = hours.select(key, *none, F.lit(None).cast(l.schema["_t"].dataType).alias("_t"), "_hour", F.lit(-1).alias("_side"), earlier.alias("_v"))
+    l = left.select(*left.columns, F.col(left_time).alias("_t"), day(left_time), F.lit(1).alias("_side"), F.lit(None).cast(value).alias("_v"))  # noqa: E741
+    r = right.select(key, *none, F.col(right_time).alias("_t"), day(right_time), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
+    days = l.select(key, "_day", "_t", "_v").unionByName(r.select(key, "_day", "_t", "_v"))
+    days = days.groupBy(key, "_day").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t"))).alias("_last"))
+    earlier = F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    carried = days.select(key, *none, F.lit(None).cast(l.schema["_t"].dataType).alias("_t"), "_day", F.lit(-1).alias("_side"), earlier.alias("_v"))
     both = l.unionByName(r.select(*l.columns)).unionByName(carried.select(*l.columns))
-    order = Window.partitionBy(key, "_hour").orderBy(F.col("_side") >= 0, "_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(key, "_day").orderBy(F.col("_side") >= 0, "_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = both.withColumn("_v", F.last("_v", ignorenulls=True).over(order)).where(F.col("_side") == 1)
     return filled.select(*left.columns, *[F.col("_v")[v].alias(v) for v in values])
 
