@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tideglass.llm import bwt_dedup, decontaminate, graph, ngram_join
 
@@ -227,6 +229,72 @@ def test_repeats_across_the_cuts_of_long_texts(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts, 40)
 
 
+def brute_passage_words(texts: list[str | None], passage: int) -> list[int]:
+    """Words in strings of passage + 1 whole words that another text has too."""
+    data = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    strings = [[d[w[k][0] : w[k + passage][1]] for k in range(len(w) - passage)] for d, w in zip(data, words, strict=True)]
+    where: dict[bytes, set[int]] = {}
+    for i, row in enumerate(strings):
+        for x in row:
+            where.setdefault(x, set()).add(i)
+    return [len({k + j for k, x in enumerate(row) if len(where[x]) > 1 for j in range(passage + 1)}) for row in strings]
+
+
+def passages():
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.choice([1, 2, 3, 5, 9, 30])))
+    words = lambda n: "".join(word() + rng.choice([" ", " ", "\n", "\t "]) for _ in range(n))
+    shared = [words(rng.randrange(4, 40)) for _ in range(12)]
+    texts = [words(rng.randrange(0, 30)) + rng.choice(shared) + words(rng.randrange(0, 30)) for _ in range(60)]
+    texts += [words(rng.randrange(0, 30)) + rng.choice(shared).strip() + rng.choice(["", "\x01", "x", "\n"]) for _ in range(20)]
+    texts += [rng.choice(["", "x", "\x01", " "]) + rng.choice(shared) + words(5) for _ in range(20)]
+    own = [words(30) for _ in range(6)]
+    texts += [words(9) + x + words(9) + x + words(3) for x in own[:4]] + [own[4], own[4], "a b c d", "a b c d", "a b c d e", "a b c d e", "", None]
+    texts += ["z " * 40, "a " * 70, "b " * 70 + "c", "b " * 50, "é" * 300 + " " + shared[0], shared[0] + "é" * 300]
+    return texts
+
+
+@pytest.mark.parametrize(("group", "long"), [(4096, 4096), (3, 4096), (4096, 130)])
+def test_shared_passages_equal_brute_force(spark, group, long):
+    """Byte windows that hold whole word windows, and those that hold none; passages at both ends and
+    beside other words; strings that only their own document repeats; copies. Small anchors and large ones."""
+    texts = passages()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length, passage in ((60, 4), (40, 9)):
+        got = {r.doc_id: r for r in bwt_dedup.removal_digest(docs, length, length // 2, group, passage, long).collect()}
+        got = [got[i] for i in range(len(texts))]
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_removed(texts, length)
+        want = brute_passage_words(texts, passage)
+        assert [r.passage_words for r in got] == want and [r.repeats_passage for r in got] == [w > 0 for w in want]
+        assert 20 < sum(w > 0 for w in want) < len(texts)
+
+
+def test_every_shared_passage_and_none_of_one_document_is_reported(spark):
+    """Passages of 51 to 59 words in other words and unchanged copies; passages that one document repeats."""
+    rng = random.Random(43)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    texts = []
+    for k in range(60):
+        passage = words(51 + k % 9)
+        texts += [" ".join([words(rng.randrange(1, 120)), passage, words(rng.randrange(1, 120))]) for _ in range(2)]
+    alone = [words(90) for _ in range(20)]
+    texts += [" ".join([words(30), x, words(30), x, words(30)]) for x in alone] + [words(300)] * 2 + [words(52)] * 2 + [words(50)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bwt_dedup.removal_digest(docs).collect()}
+    assert [got[i].passage_words for i in range(len(texts))] == [51 + k // 2 % 9 for k in range(120)] + [0] * 20 + [300, 300, 52, 52, 0, 0]
+    assert all(got[i].n_removed > 0 for i in range(120, 142))
+
+
+def test_segments_do_not_depend_on_the_pieces(monkeypatch):
+    texts = [(t or "").encode() for t in [*repeats(), *passages()]]
+    together = bwt_dedup.segments(texts, 60, 30, 5)
+    monkeypatch.setattr(bwt_dedup, "CHUNK", 101)
+    for i, text in enumerate(texts):
+        one = bwt_dedup.segments([text], 60, 30, 5)
+        assert all(np.array_equal(a, b[together[0] == i]) for a, b in zip(one[1:], together[1:], strict=True))
+
+
 def test_near_duplicates_of_a_chain_in_small_blocks(spark):
     """Neighbours of a long chain of revisions are linked, and each class goes to few blocks."""
     rng = random.Random(17)

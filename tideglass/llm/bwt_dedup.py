@@ -1,10 +1,14 @@
 """Removal of long repeated byte strings by column-wise collection BWT.
 
-A byte goes if a ``LENGTH``-byte string that covers it also starts anywhere else in the corpus.
-
-1. Every ``LENGTH``-byte window picks an anchor: the leftmost of its ``ANCHOR``-byte substrings
-   with the least hash. Equal windows pick equal anchors at equal offsets. A run of windows with
-   one anchor is a segment; only anchors that occur twice or more go on.
+A byte goes if a ``LENGTH``-byte string that covers it also starts anywhere else in the corpus. A
+passage of over ``PASSAGE_WORDS`` whole words that stands in another document too is reported, and
+cut only as far as the first rule says: so many words may be under ``LENGTH`` bytes.
+
+1. Windows of two kinds pick anchors by their own content: each ``PASSAGE_WORDS + 1`` words the
+   leftmost of its word n-grams with the least hash; each ``LENGTH``-byte window the anchor of its
+   first whole word window, or, where it holds none, the leftmost of its ``ANCHOR``-byte substrings
+   with the least hash. Equal windows pick equal anchors at equal offsets. The windows of one anchor
+   are a segment; only anchors that occur twice or more go on.
 2. Segments with equal bytes are counted together. Where an anchor has two or more different
    segments, these are laid side by side with their anchors in one column, and the collection's
    Burrows-Wheeler transform is built column by column from the right: each round inserts one
@@ -14,20 +18,21 @@ A byte goes if a ``LENGTH``-byte string that covers it also starts anywhere else
    transform), so a round costs the number of segments and not the text built so far. Rounds
    read their column and write order and prefixes one after the other; the tables between the
    phases are sequential files in the shared folder.
-3. A window whose common prefix with a neighbour reaches ``LENGTH`` is repeated. Repeated
+3. A byte window whose common prefix with a neighbour reaches ``LENGTH`` is repeated. Repeated
    windows become byte intervals, and each text is cut by its intervals.
-4. The same prefixes show the longest string that a segment shares around its anchor, however short.
-   One of over ``PASSAGE_WORDS`` whole words is reported and not cut: a passage of that many words
-   may be under ``LENGTH`` bytes. It is found if two of its places chose the same anchor inside it.
+4. Equal word windows stand side by side in the same order (white space and the end sort first).
+   Those of two documents or more become the intervals of shared passages.
 
-An anchor with more than ``GROUP`` different segments is not gathered in one task: its single
-windows are counted by 128-bit hash instead, in rows that spread over all tasks.
+An anchor with more than ``GROUP`` different segments, or with one of over ``LONG`` bytes, is not
+gathered in one task: its single windows are counted by their offset from the anchor and 128-bit
+hash instead, in rows that spread over all tasks.
 
 Defined results: a null text is an empty one; texts under ``LENGTH`` bytes keep all bytes;
-repeated rows repeat one another's strings, so long ones go entirely; a run of one byte repeats
-itself; cutting may leave bytes that are no valid UTF-8, and ``deduplicate`` then writes U+FFFD
-for what was cut in the middle; texts of any length are read in overlapping pieces of ``CHUNK``
-windows; columns other than doc_id and text are ignored by the digest and kept by
+repeated rows repeat one another's strings, so long ones go entirely, and are one another's
+passages; a run of one byte repeats itself; a passage's white space is part of it, and one that
+comes again in its own document only is not shared; cutting may leave bytes that are no valid UTF-8, and ``deduplicate`` then writes U+FFFD
+for what was cut in the middle; the bytes of a text of any length are hashed in pieces of about
+``CHUNK``; columns other than doc_id and text are ignored by the digest and kept by
 ``deduplicate``; an empty table gives no rows.
 """
 
@@ -45,25 +50,32 @@ from .common import inverse, maybe_broadcast, mix64, powers, stage_table
 
 LENGTH = 400
 ANCHOR = 200
-#: Shared strings of more whole words than this are reported, whatever their bytes.
+#: Passages of more whole words than this that another document has too are reported, whatever their bytes.
 PASSAGE_WORDS = 50
 #: Different segments of one anchor that a task takes together.
 GROUP = 4096
+#: Bytes of the longest segment that a task takes together with others.
+LONG = 4096
 #: Segments that one run of the column-wise construction takes together.
 BATCH = 4096
 #: Copies of one text that a task takes together.
 COPIES = 256
 #: Texts with more copies are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
-#: Windows of a text that are hashed together.
+#: Bytes of a text that are hashed together.
 CHUNK = 1 << 20
+#: Texts are taken through numpy together up to so many bytes.
+TOGETHER = 1 << 18
 
 _RNG = np.random.Generator(np.random.PCG64(9))
-#: ASCII white space, by byte + 1.
-_SPACE = np.zeros(257, bool)
-_SPACE[[0x21, *range(0x0A, 0x0F)]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Symbols of the transform: 1 to 256, white space first; 0 is no symbol.
+_SYMBOL = np.zeros(256, np.int16)
+_SYMBOL[np.argsort(~_SPACE, kind="stable")] = np.arange(1, 257)
 _TABLES = _RNG.integers(0, 1 << 64, (2, 256), dtype=np.uint64) | np.uint64(1)
 _BASES = tuple(int(b) * 2 + 1 for b in _RNG.integers(0, 1 << 63, 2))
+_GRAM_BASE = int(_RNG.integers(0, 1 << 63)) * 2 + 1
 
 
 def _sums(data: np.ndarray, family: int) -> np.ndarray:
@@ -92,92 +104,177 @@ def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
     return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def segments(data: np.ndarray, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor_hash, first, last, anchor_at, hash_1, hash_2) arrays of a text's segments.
+def _span_hashes(data: np.ndarray, family: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], equal for equal bytes; start ascends."""
+    out = np.empty(len(start), np.uint64)
+    cuts = np.searchsorted(start, np.arange(0, len(data) + CHUNK, CHUNK))
+    for at, a, b in zip(range(0, len(data), CHUNK), cuts[:-1], cuts[1:], strict=False):
+        if a < b:
+            sums = _sums(data[at : end[a:b].max()], family)
+            out[a:b] = _hash(sums, family, start[a:b] - at, end[a:b] - at)
+    return out
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word."""
+    edge = np.flatnonzero(np.diff(~_SPACE[data], prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
+def _runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of equal values."""
+    first = np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+    return first, np.append(first[1:], len(values)) - 1
+
 
-    first and last: the first and last window start; the segment's bytes are
-    data[first : last + length].
+def word_windows(data: np.ndarray, base: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """begin, end of all words; first, text: of each window of ``width`` words its first word and the text it is in.
+
+    data: texts with one space between; base: where each begins.
     """
-    for at in range(0, len(data) - length + 1, CHUNK):
-        piece = data[at : min(len(data), at + CHUNK + length - 1)]
-        one, two = _sums(piece, 0), _sums(piece, 1)
-        grams = np.arange(len(piece) - anchor + 1)
-        keys = _hash(one, 0, grams, grams + anchor)
-        chosen = sliding_argmin(keys, length - anchor + 1)
-        edge = np.flatnonzero(np.diff(chosen, prepend=-1))
-        last = np.append(edge[1:] - 1, len(chosen) - 1)
-        end = last + length
-        # the segment's hashes also tell where its anchor stands
-        lead = (chosen[edge] - edge).astype(np.uint64)
-        first_hash = _hash(one, 0, edge, end) ^ mix64(lead)
-        yield keys[chosen[edge]], edge + at, last + at, chosen[edge] + at, first_hash, _hash(two, 1, edge, end) ^ mix64(lead + np.uint64(1 << 32))
+    begin, end = word_bounds(data)
+    text = np.searchsorted(base, begin, "right") - 1
+    n = max(0, len(begin) - width + 1)
+    first = np.flatnonzero(text[:n] == text[width - 1 :][:n])
+    return begin, end, first, text[first]
+
 
+def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with one space between, where each begins, and their sizes."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return np.frombuffer(b" ".join(texts), np.uint8), np.cumsum(sizes + 1) - sizes - 1, sizes
 
-_SEGMENTS = "key_1 long, key_2 long, anchor long, first int, last int, lead int, hash_1 long, hash_2 long"
 
+def segments(texts: list[bytes], length: int, anchor: int, width: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor_hash, first, stop, lead, v_at, v_end, hash_1, hash_2) arrays of the texts' segments.
 
-def _find_segments(length: int, anchor: int):
+    The segment's bytes are texts[text][first:stop], its anchor begins at first + lead; its word
+    windows are those of ``width`` words from first + v_at to first + v_end, none where v_end is 0.
+    """
+    data, base, sizes = _join(texts)
+    begin, end, word, text = word_windows(data, base, width)
+    delta = np.zeros(len(data) + 2, np.int8)  # steps of: byte windows without an anchor
+    long_ = sizes >= length
+    delta[base[long_]] += 1
+    delta[base[long_] + sizes[long_] - length + 1] -= 1
+    parts = []
+    if len(word):
+        gram = max(1, width // 4)
+        sums = np.zeros(len(begin) + 1, np.uint64)
+        np.cumsum(_span_hashes(data, 0, begin, end) * powers(_GRAM_BASE, len(begin))[: len(begin)], dtype=np.uint64, out=sums[1:])
+        at = np.arange(len(begin) - gram + 1)
+        key = mix64((sums[at + gram] - sums[at]) * powers(inverse(_GRAM_BASE), len(begin))[at] + np.uint64(1))
+        chosen = sliding_argmin(key, width - gram + 1)[word]
+        v_begin, v_end = begin[word], end[word + width - 1]
+        # the byte windows whose first whole word begins the word window; they begin and end in sight
+        low = np.maximum(np.maximum(np.where(word > 0, begin[word - 1], 0), base[text]), v_end - length + 1)
+        high = np.minimum(v_begin - 1, (base + sizes)[text] - length)
+        holds = low <= high
+        delta[low[holds]] -= 1
+        delta[high[holds] + 1] += 1
+        a, b = _runs_of(chosen)
+        first = np.minimum.reduceat(np.where(holds, low, v_begin), a)
+        stop = np.maximum(v_end[b], np.maximum.reduceat(np.where(holds, high + length, 0), a))
+        parts.append((key[chosen[a]], first, stop, begin[chosen[a]] - first, v_begin[a] - first, v_end[b] - first))
+    # the other byte windows, by stretches
+    other = np.flatnonzero(np.cumsum(delta, dtype=np.int8))
+    held = []
+    for stretch in np.split(other, np.flatnonzero(np.diff(other) > length) + 1) if len(other) else ():
+        for some in np.split(stretch, np.searchsorted(stretch, np.arange(stretch[0] + CHUNK, stretch[-1] + 1, CHUNK))):
+            if len(some):
+                sums = _sums(data[some[0] : some[-1] + length], 0)
+                at = np.arange(len(sums) - anchor)
+                key = _hash(sums, 0, at, at + anchor)
+                chosen = sliding_argmin(key, length - anchor + 1)[some - some[0]]
+                a, b = _runs_of(chosen)
+                held.append((key[chosen[a]], some[a], some[b], chosen[a] + some[0]))
+    if held:
+        key, first, last, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        a, b = _runs_of(place)  # an anchor may be chosen on both sides of a cut
+        none = np.zeros(len(a), np.int64)
+        parts.append((key[a], first[a], last[b] + length, place[a] - first[a], none, none))
+    if not parts:
+        return tuple(np.empty(0, np.uint64 if i in (1, 7, 8) else np.int64) for i in range(9))
+    out = []
+    for key, first, stop, lead, v_at, v_end in parts:
+        # the segment's hashes also tell where its anchor and its word windows stand
+        tag = mix64(mix64(mix64(lead.astype(np.uint64)) + v_at.astype(np.uint64)) + v_end.astype(np.uint64))
+        one, two = (_span_hashes(data, f, first, stop) for f in (0, 1))
+        text = np.searchsorted(base, first, "right") - 1
+        out.append((text, key, first - base[text], stop - base[text], lead, v_at, v_end, one ^ tag, two ^ mix64(tag + np.uint64(1 << 32))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+_SEGMENTS = "key_1 long, key_2 long, anchor long, first int, stop int, lead int, v_at int, v_end int, hash_1 long, hash_2 long"
+
+
+def _find_segments(length: int, anchor: int, width: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SEGMENTS.split(", ")]
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64()] * 2
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.int64()] * 2
 
-        def made(held: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64), k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+        def made(keys: list[tuple[int, int]], texts: list[bytes]) -> pa.RecordBatch:
+            text, *columns = segments(texts, length, anchor, width)
+            own = np.array(keys, np.int64)[text]
+            columns = [own[:, 0], own[:, 1], *(c.view(np.int64) for c in columns)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), k, safe=False) for c, k in zip(columns, kinds, strict=True)], names)
 
         # a text that comes again shows that its segments are repeated; further copies add nothing
         seen: dict[tuple[int, int], bool] = {}
         for batch in batches:
-            held, size = [], 0
+            keys, texts, size = [], [], 0
             for one, two, text in zip(batch["key_1"].to_pylist(), batch["key_2"].to_pylist(), batch["text"], strict=True):
                 if seen.get((one, two)):
                     continue
                 seen[one, two] = (one, two) in seen
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                for key, first, last, at, h1, h2 in segments(data, length, anchor):
-                    n = len(key)
-                    held.append((np.full(n, one), np.full(n, two), key.view(np.int64), first, last, at - first, h1.view(np.int64), h2.view(np.int64)))
-                    size += n
-                if size > 50_000:
-                    yield made(held)
-                    held, size = [], 0
-            if held:
-                yield made(held)
+                keys.append((one, two))
+                texts.append((text.as_py() or "").encode())
+                size += len(texts[-1])
+                if size > TOGETHER:
+                    yield made(keys, texts)
+                    keys, texts, size = [], [], 0
+            if texts:
+                yield made(keys, texts)
 
     return find
 
 
-def _whole_words(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each column: word starts before it, and word ends at or before it, of every segment.
-
-    symbols: columns x segments, byte + 1, 0 where a segment has none.
-    """
-    word = (symbols > 0) & ~_SPACE[symbols]
-    edge = np.zeros((1, symbols.shape[1]), bool)
-    before, after = np.concatenate([edge, word]), np.concatenate([word, edge])
-    starts, ends = np.zeros(before.shape, np.int32), (before & ~after).astype(np.int32)
-    starts[1:] = np.cumsum(after[:-1] & ~before[:-1], 0)
-    return starts, np.cumsum(ends, 0, dtype=np.int32)
-
-
-def repeated_starts(texts: list[bytes], leads: list[int], groups: list[int], length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each segment, the window starts that another segment of its group repeats, and the whole
-    words of the longest string (in words) around its anchor that another one shares.
+def repeated_runs(rows: list[dict], groups: np.ndarray, length: int, width: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(segment, start, stop) of the runs of windows that another segment of the group repeats, and of
+    those of word windows that a segment of the group from another document has.
 
     The column-wise construction: segments are aligned so that all anchors begin in one column.
+    rows: bytes, lead, v_at, v_end and owner (None: several documents) of each segment.
     groups: ascending group numbers; suffixes are compared within a group only.
     """
-    m = len(texts)
-    left, sizes = np.array(leads), np.array([len(t) for t in texts])
+    m = len(rows)
+    left, sizes = np.array([r["lead"] for r in rows]), np.array([len(r["bytes"]) for r in rows])
     shift = left.max() - left
-    width = int((shift + sizes).max())
-    symbols = np.zeros((width, m), np.int16)  # 0: no symbol; a column is one sequential read
-    for k, t in enumerate(texts):
-        symbols[shift[k] : shift[k] + sizes[k], k] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
-    group = np.array(groups, np.int64) * 512
+    columns = int((shift + sizes).max())
+    laid = np.zeros((m, columns), np.int16)
+    for k, r in enumerate(rows):
+        laid[k, shift[k] : shift[k] + sizes[k]] = _SYMBOL[np.frombuffer(r["bytes"], np.uint8)]
+    symbols = np.ascontiguousarray(laid.T)  # a column is one sequential read
+    # several documents are an owner of their own
+    owner = np.array([k if r["owner"] is None else m for k, r in enumerate(rows)])
+    single = owner == m
+    if single.any():
+        owner[single] += np.unique([r["owner"] for r in rows if r["owner"] is not None], return_inverse=True)[1]
+    # word windows by column
+    data, base, _ = _join([r["bytes"][r["v_at"] : r["v_end"]] for r in rows])
+    begin, end, word, w_segment = word_windows(data, base, width)
+    w_size = end[word + width - 1] - begin[word]
+    w_column = begin[word] + (np.array([r["v_at"] for r in rows]) - base + shift)[w_segment]
+    by_column = np.argsort(w_column, kind="stable")
+    w_segment, w_size = w_segment[by_column], w_size[by_column]
+    w_from = np.searchsorted(w_column[by_column], np.arange(columns + 1)).tolist()
+    size_here = np.zeros(m, np.int64)
+
+    group = groups.astype(np.int64) * 512
     order, prefix = np.arange(m), np.zeros(m, np.int64)  # prefix[i]: common with the suffix before
-    hits: list[list[int]] = [[] for _ in range(m)]
-    begun, ended, words, last_anchor = *_whole_words(symbols), np.zeros(m, np.int64), int(left.max())
-    for column in range(width - 1, -1, -1):
+    repeated, turns = np.zeros(m, bool), []
+    shared = []
+    for column in range(columns - 1, -1, -1):
         inserted = symbols[column][order]
         bucket = group[order] + inserted
         place = np.argsort(bucket, kind="stable")
@@ -195,35 +292,58 @@ def repeated_starts(texts: list[bytes], leads: list[int], groups: list[int], len
             least = np.minimum.reduceat(np.append(prefix, 0), ends)[::2]
             new[apart] = least + 1
         order, prefix = order[place], new
-        if width - column >= length:
-            far = prefix >= length
-            for k in set(order[far].tolist()) | set(order[np.flatnonzero(far) - 1].tolist()):
-                hits[k].append(column)
-        if column <= last_anchor:  # the longest string that begins here and stands in a neighbour too
-            shared = np.maximum(prefix, np.append(prefix[1:], 0))
-            words[order] = np.maximum(words[order], ended[column + shared, order] - begun[column, order])
-    return [np.array(h[::-1], np.int64) - shift[k] for k, h in enumerate(hits)], words
-
-
-_RUNS = "anchor long, hash_1 long, hash_2 long, start int, stop int, words int"
-
-
-def _construct(length: int, batch_size: int):
+        if columns - column >= length:
+            far = np.flatnonzero(prefix >= length)
+            now = np.zeros(m, bool)
+            now[order[far]] = now[order[far - 1]] = True
+            turn = np.flatnonzero(now != repeated)
+            if len(turn):
+                turns.append((turn, np.full(len(turn), column)))
+                repeated = now
+        a, b = w_from[column : column + 2]
+        if b - a > 1:  # equal word windows are neighbours among those that begin here
+            size_here[w_segment[a:b]] = w_size[a:b]
+            sizes_in_order = size_here[order]
+            size_here[w_segment[a:b]] = 0
+            at = np.flatnonzero(sizes_in_order)
+            size = sizes_in_order[at]
+            equal = (np.minimum.reduceat(prefix[: at[-1] + 1], at[:-1] + 1) >= size[1:]) & (size[1:] == size[:-1])
+            if equal.any():
+                begins = np.flatnonzero(np.append(True, ~equal))
+                here = order[at]
+                several = np.minimum.reduceat(owner[here], begins) != np.maximum.reduceat(owner[here], begins)
+                found = np.repeat(several, np.diff(np.append(begins, len(at))))
+                shared.append((here[found], np.full(found.sum(), column), column + size[found]))
+    turns.append((np.flatnonzero(repeated), np.full(repeated.sum(), -1)))
+    # by segment and from right to left, a run begins and ends in turn
+    segment, column = (np.concatenate(c) for c in zip(*turns, strict=True))
+    at = np.argsort(segment, kind="stable")
+    segment, column = segment[at], column[at]
+    cut = (segment[::2], column[1::2] + 1 - shift[segment[::2]], column[::2] + length - shift[segment[::2]])
+    if not shared:
+        return cut, (segment[:0],) * 3
+    segment, start, stop = (np.concatenate(c) for c in zip(*shared, strict=True))
+    at = np.lexsort((start, segment))
+    segment, start, stop = segment[at], start[at], stop[at]
+    first = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (start[1:] > stop[:-1]))[: len(segment)])
+    last = np.append(first[1:], len(segment))[: len(first)] - 1
+    return cut, (segment[first], start[first] - shift[segment[first]], stop[last] - shift[segment[first]])
+
+
+_RUNS = "anchor long, hash_1 long, hash_2 long, start int, stop int, passage boolean"
+
+
+def _construct(length: int, width: int, batch_size: int):
     def construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by anchor; whole anchors are taken together up to ``batch_size`` rows."""
 
         def solve(rows: list[dict]) -> pa.RecordBatch:
             number = np.cumsum(np.diff([r["anchor"] for r in rows], prepend=rows[0]["anchor"]) != 0)
-            out = []
-            for row, starts, words in zip(rows, *repeated_starts([r["bytes"] for r in rows], [r["lead"] for r in rows], number.tolist(), length), strict=True):
-                if words > PASSAGE_WORDS:
-                    out.append((row["anchor"], row["hash_1"], row["hash_2"], None, None, int(words)))
-                if len(starts):
-                    edge = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
-                    for a, b in zip(starts[edge], starts[np.append(edge[1:] - 1, len(starts) - 1)], strict=True):
-                        out.append((row["anchor"], row["hash_1"], row["hash_2"], int(a), int(b) + length, None))
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [x.split()[0] for x in _RUNS.split(", ")])
+            runs = repeated_runs(rows, number, length, width)
+            segment, start, stop = (np.concatenate(c) for c in zip(*runs, strict=True))
+            same = [pa.array(np.array([r[n] for r in rows], np.int64)[segment]) for n in ("anchor", "hash_1", "hash_2")]
+            passage = np.repeat([False, True], [len(r[0]) for r in runs])
+            return pa.RecordBatch.from_arrays([*same, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(passage)], [x.split()[0] for x in _RUNS.split(", ")])
 
         held, group = [], []
         for batch in batches:
@@ -245,92 +365,135 @@ def _key() -> list[Column]:
     return [F.xxhash64(text, F.lit(1)).alias("key_1"), F.xxhash64(F.lit(2), text).alias("key_2")]
 
 
-def _cut_out(length_of_output: str):
-    """Slices of the wanted segments from the texts: for each text, an array of (first, last)."""
+_CUT = "anchor long, lead int, v_at int, v_end int, owner long, hash_1 long, hash_2 long, bytes binary"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "lead", "hash_1", "hash_2"]
-        for batch in batches:
-            rows = []
-            for text, wanted in zip(batch["text"], batch["wanted"].to_pylist(), strict=True):
-                data = (text.as_py() or "").encode()
-                rows += [{n: w[n] for n in names} | {"bytes": data[w["first"] : w["stop"]]} for w in wanted]
-                if len(rows) > 5000:
-                    yield _segment_rows(rows)
-                    rows = []
-            if rows:
-                yield _segment_rows(rows)
 
-    return cut
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the wanted segments from the texts: for each text, an array of them with first and stop."""
+    names = [x.split()[0] for x in _CUT.split(", ")]
+    for batch in batches:
+        flat = batch["wanted"].flatten()
+        columns = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+        place = list(zip(columns["first"].to_pylist(), columns["stop"].to_pylist(), strict=True))
+        at, held, size = 0, [], 0
+        counts = np.diff(batch["wanted"].offsets.to_numpy()).tolist()
 
+        def made(at: int, held: list[bytes], columns=columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()) if n == "bytes" else columns[n].slice(at, len(held)) for n in names], names)
 
-def _segment_rows(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("anchor", pa.int64()), ("lead", pa.int32()), ("hash_1", pa.int64()), ("hash_2", pa.int64()), ("bytes", pa.binary())]))
+        for text, n in zip(batch["text"], counts, strict=True):
+            data = (text.as_py() or "").encode()
+            held += [data[first:stop] for first, stop in place[at + len(held) : at + len(held) + n]]
+            size += len(data)
+            if size > CHUNK:
+                yield made(at, held)
+                at, held, size = at + len(held), [], 0
+        if held:
+            yield made(at, held)
 
 
-_CUT = "anchor long, lead int, hash_1 long, hash_2 long, bytes binary"
-_WINDOWS = "hash_1 long, hash_2 long, start int, window_1 long, window_2 long"
+_WINDOWS = "hash_1 long, hash_2 long, owner long, start int, stop int, passage boolean, window_1 long, window_2 long"
 
 
-def _single_windows(length: int):
+def _single_windows(length: int, width: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held: list) -> pa.RecordBatch:
+            one, two, owner, several, *rest = (np.concatenate(c) for c in zip(*held, strict=True))
+            columns = [pa.array(one), pa.array(two), pa.array(owner, mask=several), *map(pa.array, rest)]
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _WINDOWS.split(", ")])
+
         for batch in batches:
+            held, size = [], 0
             for row in batch.to_pylist():
                 data = np.frombuffer(row["bytes"], np.uint8)
                 at = np.arange(len(data) - length + 1)
-                one, two = (_hash(_sums(data, f), f, at, at + length).view(np.int64) for f in (0, 1))
-                same = [np.full(len(at), row[n]) for n in ("hash_1", "hash_2")]
-                yield pa.RecordBatch.from_arrays([pa.array(same[0]), pa.array(same[1]), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], [x.split()[0] for x in _WINDOWS.split(", ")])
+                begin, end, word, _ = word_windows(data[row["v_at"] : row["v_end"]], np.zeros(1, np.int64), width)
+                for passage, start, stop in ((False, at, at + length), (True, begin[word] + row["v_at"], end[word + width - 1] + row["v_at"])):
+                    # compared like columns: equal windows have one anchor at one offset, and no place comes twice
+                    tag = mix64(mix64(np.array([row["anchor"]]).view(np.uint64)) + (start - row["lead"]).astype(np.uint64))
+                    one, two = ((_span_hashes(data, f, start, stop) ^ mix64(tag + np.uint64(f))).view(np.int64) for f in (0, 1))
+                    n = len(start)
+                    same = (np.full(n, x) for x in (row["hash_1"], row["hash_2"], row["owner"] or 0, row["owner"] is None))
+                    held.append((*same, start.astype(np.int32), stop.astype(np.int32), np.full(n, passage), one, two))
+                    size += n
+                if size > 50_000:
+                    yield made(held)
+                    held, size = [], 0
+            if held:
+                yield made(held)
 
     return split
 
 
-def repeated_intervals(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """key_1, key_2, spans, words: for each text that has any, the byte intervals to remove (they may
-    overlap), and the words of its longest shared string where these are over ``PASSAGE_WORDS``."""
+def repeated_intervals(docs: DataFrame, copies: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, passage: int = PASSAGE_WORDS, long: int = LONG) -> DataFrame:
+    """key_1, key_2, spans, passages, copied: for each text that has any, the byte intervals to remove and
+    those of over ``passage`` words that another document has (they may overlap), and whether another
+    document has the same text.
+
+    copies: key_1, key_2 of the texts of two rows or more.
+    """
+    width = passage + 1
     keyed = docs.select("text").select(*_key(), "text")
-    found = stage_table(keyed.mapInArrow(_find_segments(length, anchor), _SEGMENTS), "segments")
+    found = stage_table(keyed.mapInArrow(_find_segments(length, anchor, width), _SEGMENTS), "segments")
     segment = ["anchor", "hash_1", "hash_2"]
-    kinds = found.groupBy(*segment).agg(F.count(F.lit(1)).alias("n"), F.min("lead").alias("lead"), F.min(F.struct("key_1", "key_2", "first", "last")).alias("at"))
-    per_anchor = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
+    kinds = found.groupBy(*segment).agg(
+        F.count(F.lit(1)).alias("n"), F.min("lead").alias("lead"), F.min("v_at").alias("v_at"), F.min("v_end").alias("v_end"),
+        F.min(F.struct("key_1", "key_2", "first", "stop")).alias("at"), F.max("key_1").alias("top"),
+    )
+    # the text that has it; null: several have
+    kinds = kinds.withColumn("owner", F.when(F.col("at.key_1") == F.col("top"), F.col("top"))).drop("top")
+    size = F.col("at.stop") - F.col("at.first")
+    per_anchor = kinds.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.max(size).alias("longest")).where("total > 1")
     # every kind of segment of an anchor that occurs twice or more
     kinds = stage_table(kinds.join(per_anchor, "anchor").drop("total"), "kinds")
 
-    compared = kinds.where("kinds > 1").select(*segment, "lead", "kinds", "at.*")
-    wanted = compared.groupBy("key_1", "key_2").agg(F.collect_list(F.struct("anchor", "lead", "hash_1", "hash_2", "first", (F.col("last") + length).alias("stop"))).alias("wanted"))
+    compared = kinds.where("kinds > 1").select(*segment, "lead", "v_at", "v_end", "owner", "at.*")
+    wanted = compared.groupBy("key_1", "key_2").agg(F.collect_list(F.struct(*segment, "lead", "v_at", "v_end", "owner", "first", "stop")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"key_1": "in_1", "key_2": "in_2"})
     held = keyed.join(wanted, (F.col("key_1") == F.col("in_1")) & (F.col("key_2") == F.col("in_2"))).select("key_1", "key_2", "text", "wanted")
     # copies would bring the same segments again
     held = held.dropDuplicates(["key_1", "key_2"]).select("text", "wanted")
-    cut = held.mapInArrow(_cut_out("bytes"), _CUT)
-    large = kinds.where(F.col("kinds") > group).select("anchor").distinct().withColumnRenamed("anchor", "large")
+    cut = held.mapInArrow(_cut_out, _CUT)
+    large = kinds.where((F.col("kinds") > group) | (F.col("longest") > long)).select("anchor").distinct().withColumnRenamed("anchor", "large")
     cut = stage_table(cut.join(large, F.col("anchor") == F.col("large"), "left"), "cut")
 
-    none = F.lit(None).cast("int").alias("words")
+    run = ["hash_1", "hash_2", "start", "stop", "passage"]
     small = cut.where("large IS NULL").drop("large").dropDuplicates(segment)
-    runs = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length, BATCH), _RUNS).select("hash_1", "hash_2", "start", "stop", "words")
-    windows = cut.where("large IS NOT NULL").drop("large").mapInArrow(_single_windows(length), _WINDOWS).dropDuplicates(["hash_1", "hash_2", "start"])
-    often = windows.groupBy("window_1", "window_2").count().where("count > 1").select("window_1", "window_2")
-    single = windows.join(often, ["window_1", "window_2"]).select("hash_1", "hash_2", "start", (F.col("start") + length).alias("stop"), none)
+    runs = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_construct(length, width, BATCH), _RUNS).select(*run)
+    windows = cut.where("large IS NOT NULL").drop("large").dropDuplicates(segment).mapInArrow(_single_windows(length, width), _WINDOWS)
+    windows = stage_table(windows, "windows")
+    window = ["window_1", "window_2", "passage"]
+    often = windows.groupBy(*window).agg(F.count(F.lit(1)).alias("n"), (F.count("owner") < F.count(F.lit(1))).alias("several"), (F.min("owner") < F.max("owner")).alias("differ"))
+    often = often.where("CASE WHEN passage THEN several OR differ ELSE n > 1 END").select(*window)
+    single = windows.join(often, window).select(*run)
     # a kind of segment that occurs twice or more is repeated as a whole
-    whole = kinds.where("n > 1").select("hash_1", "hash_2", F.lit(0).alias("start"), (F.col("at.last") - F.col("at.first") + length).alias("stop"), none)
-    runs = stage_table(runs.union(single).union(whole), "runs")
+    yes, no = F.lit(True).alias("passage"), F.lit(False).alias("passage")
+    whole = kinds.where((F.col("n") > 1) & (size >= length)).select("hash_1", "hash_2", F.lit(0).alias("start"), size.alias("stop"), no)
+    passages = kinds.where("owner IS NULL AND v_end > 0").select("hash_1", "hash_2", F.col("v_at").alias("start"), F.col("v_end").alias("stop"), yes)
+    runs = stage_table(runs.union(single).union(whole).union(passages), "runs")
 
     placed = found.select("key_1", "key_2", "first", "hash_1", "hash_2").join(runs, ["hash_1", "hash_2"])
     # copies of a text bring equal spans: a set, which is cut down before it is shuffled
     span = F.struct((F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
-    spans = placed.select("key_1", "key_2", F.when(F.col("start").isNotNull(), span).alias("span"), "words")
-    return spans.groupBy("key_1", "key_2").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.max("words").alias("words"))
-
-
-def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of sorted, possibly overlapping intervals; touching ones are one run."""
-    out: list[tuple[int, int]] = []
-    for s in spans or ():
-        if out and s["start"] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s["stop"]))
-        else:
-            out.append((s["start"], s["stop"]))
+    spans = placed.select("key_1", "key_2", F.when(~F.col("passage"), span).alias("span"), F.when(F.col("passage"), span).alias("shared"), F.lit(False).alias("copied"))
+    none = [F.lit(None).cast(spans.schema[n].dataType).alias(n) for n in ("span", "shared")]
+    spans = spans.union(copies.select("key_1", "key_2", *none, F.lit(True)))
+    sets = [F.sort_array(F.collect_set(n)).alias(to) for n, to in (("span", "spans"), ("shared", "passages"))]
+    return spans.groupBy("key_1", "key_2").agg(*sets, F.max("copied").alias("copied"))
+
+
+def merged(column: pa.Array) -> list[list[tuple[int, int]]]:
+    """For each row the maximal runs of its sorted, possibly overlapping intervals; touching ones are one run."""
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    start, stop = (column.flatten().field(n).to_numpy(zero_copy_only=False).astype(np.int64) + (row << 32) for n in ("start", "stop"))
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
+    if len(row):
+        stop = np.maximum.accumulate(stop)
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1])))
+        last = np.append(first[1:], len(row)) - 1
+        row = row[first]
+        for k, a, b in zip(row.tolist(), (start[first] - (row << 32)).tolist(), (stop[last] - (row << 32)).tolist(), strict=True):
+            out[k].append((a, b))
     return out
 
 
@@ -339,12 +502,11 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_spans(docs: DataFrame, length: int, anchor: int, group: int) -> DataFrame:
-    """row (the other columns by place: c0, c1, ...), text, spans, words. Texts with over ``COPIES`` copies are dealt to several tasks."""
-    spans = stage_table(repeated_intervals(docs, length, anchor, group).withColumnsRenamed({"key_1": "in_1", "key_2": "in_2"}), "spans")
-    keys = docs.select(*_key())
-    often = keys.groupBy("key_1", "key_2").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("pieces")).where("pieces > 1")
-    often = stage_table(often.withColumnsRenamed({"key_1": "hot_1", "key_2": "hot_2"}), "often")
+def _with_spans(docs: DataFrame, length: int, anchor: int, group: int, passage: int, long: int) -> DataFrame:
+    """row (the other columns by place: c0, c1, ...), text, spans, passages, copied. Texts with over ``COPIES`` copies are dealt to several tasks."""
+    copies = stage_table(docs.select(*_key()).groupBy("key_1", "key_2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    spans = stage_table(repeated_intervals(docs, copies, length, anchor, group, passage, long).withColumnsRenamed({"key_1": "in_1", "key_2": "in_2"}), "spans")
+    often = copies.where(F.col("n") > COPIES).select(F.col("key_1").alias("hot_1"), F.col("key_2").alias("hot_2"), F.ceil(F.col("n") / COPIES).cast("int").alias("pieces"))
     few = maybe_broadcast(often, BROADCAST_ROWS)
 
     row = F.struct(F.lit(True).alias("here"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]).alias("row")
@@ -352,33 +514,44 @@ def _with_spans(docs: DataFrame, length: int, anchor: int, group: int) -> DataFr
     keyed = keyed.join(few, (F.col("key_1") == F.col("hot_1")) & (F.col("key_2") == F.col("hot_2")), "left")
     keyed = keyed.select("row", "text", "key_1", "key_2", F.pmod(F.monotonically_increasing_id(), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"))
     dealt = spans.join(few, (F.col("in_1") == F.col("hot_1")) & (F.col("in_2") == F.col("hot_2")), "left")
-    dealt = dealt.select("in_1", "in_2", "spans", "words", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("in_piece"))
+    dealt = dealt.select("in_1", "in_2", "spans", "passages", "copied", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("in_piece"))
     same = (F.col("key_1") == F.col("in_1")) & (F.col("key_2") == F.col("in_2")) & (F.col("piece") == F.col("in_piece"))
-    return keyed.join(dealt, same, "left").select("row", "text", "spans", "words")
+    return keyed.join(dealt, same, "left").select("row", "text", "spans", "passages", "copied")
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, repeats boolean, passage_words int, repeats_passage boolean"
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text, spans, words in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"], batch["words"].to_pylist(), strict=True):
-            data, runs = (text.as_py() or "").encode(), merge(spans.as_py())
-            rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept := _kept(data, runs)).hexdigest(), len(kept), bool(runs), words or 0, bool(runs) or words is not None))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in _DIGEST.split(", ")])
+def _words_within(data: bytes, runs: list[tuple[int, int]]) -> int:
+    begin = word_bounds(np.frombuffer(data, np.uint8))[0]
+    return int(np.diff(np.searchsorted(begin, np.array(runs))).sum())
+
+
+def _digest(passage: int):
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text, runs, shared, copied in zip(batch["doc_id"].to_pylist(), batch["text"], merged(batch["spans"]), merged(batch["passages"]), batch["copied"].to_pylist(), strict=True):
+                data = (text.as_py() or "").encode()
+                shared = [(0, len(data))] if copied else shared
+                words = _words_within(data, shared) if shared else 0
+                words = words if words > passage else 0
+                rows.append((doc_id, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept := _kept(data, runs)).hexdigest(), len(kept), bool(runs), words, words > 0))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [x.split()[0] for x in _DIGEST.split(", ")])
+
+    return digest
 
 
-def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+def removal_digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, passage: int = PASSAGE_WORDS, long: int = LONG) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text).
 
     doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept; repeats: something was removed;
-    passage_words: whole words of the longest string shared with another place, as far as a shared
-    anchor shows it and if they are over ``PASSAGE_WORDS``, else 0; repeats_passage: either holds.
+    passage_words: the words that stand in strings of over ``passage`` whole words which another
+    document has too, be they cut or not; repeats_passage: there are any.
     """
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, anchor, group)
-    return rows.select(F.col("row.c0").alias("doc_id"), "text", "spans", "words").mapInArrow(_digest, _DIGEST)
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, anchor, group, passage, long)
+    return rows.select(F.col("row.c0").alias("doc_id"), "text", "spans", "passages", "copied").mapInArrow(_digest(passage), _DIGEST)
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
@@ -386,10 +559,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gro
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t.as_py() is None else _kept(t.as_py().encode(), merge(s.as_py())).decode(errors="replace") for t, s in zip(batch["text"], batch["spans"], strict=True)]
+            texts = [None if t.as_py() is None else _kept(t.as_py().encode(), s).decode(errors="replace") for t, s in zip(batch["text"], merged(batch["spans"]), strict=True)]
             keep = [n for n in batch.schema.names if n not in ("text", "spans")]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch[n] for n in keep)], ["cut_text", *keep])
 
-    rows = _with_spans(docs, length, anchor, group).select("row", "text", "spans")
+    rows = _with_spans(docs, length, anchor, group, PASSAGE_WORDS, LONG).select("row", "text", "spans")
     out = rows.mapInArrow(cut, f"cut_text string, row {rows.schema['row'].dataType.simpleString()}")
     return out.select(*[F.col("cut_text" if c == "text" else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
